@@ -121,9 +121,13 @@ def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, by: str = "<secret>")
     return found.select("doc_id", F.when(F.size("found") == 0, F.col("text")).otherwise(rebuilt).alias("text"), "found")
 
 
+def _of_rank(rank: int):
+    return lambda s: s["rank"] == rank
+
+
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
     n = sum(rule.base for rule in RULES)
     found = scan(read(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["rank"] < n)
-    counts = [F.size(F.filter("found", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{RULES[i].kind}") for i in range(n)]
+    counts = [F.size(F.filter("found", _of_rank(i))).cast("long").alias(f"n_{RULES[i].kind}") for i in range(n)]
     return found.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
