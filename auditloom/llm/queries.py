@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from auditloom.llm.bpe import op8_bpe
 from auditloom.llm.decontaminate import op6_decontamination
+from auditloom.llm.neardup import op4_neardup
 from auditloom.llm.pii import op7_pii
 from auditloom.llm.secrets import op3_secrets
 from auditloom.llm.sharding import op10_sharding
@@ -13,6 +14,7 @@ from auditloom.llm.toxicity import op2_toxicity
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
+    "op4_neardup": op4_neardup,
     "op5_telephony": op5_telephony,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
