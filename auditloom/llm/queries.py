@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from auditloom.llm.bpe import op8_bpe
+from auditloom.llm.ctw import op1_ctw
 from auditloom.llm.decontaminate import op6_decontamination
 from auditloom.llm.neardup import op4_neardup
 from auditloom.llm.pii import op7_pii
@@ -12,6 +13,7 @@ from auditloom.llm.telephony import op5_telephony
 from auditloom.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_ctw": op1_ctw,
     "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
     "op4_neardup": op4_neardup,
