@@ -7,6 +7,7 @@ from auditloom.llm.ctw import op1_ctw
 from auditloom.llm.decontaminate import op6_decontamination
 from auditloom.llm.neardup import op4_neardup
 from auditloom.llm.pii import op7_pii
+from auditloom.llm.repeats import op9_repeats
 from auditloom.llm.secrets import op3_secrets
 from auditloom.llm.sharding import op10_sharding
 from auditloom.llm.telephony import op5_telephony
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
+    "op9_repeats": op9_repeats,
     "op10_sharding": op10_sharding,
 }
 
