@@ -90,25 +90,35 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Null texts are empty and have no spans; rows that repeat a doc_id are
     scanned each for itself; documents without doc_id are kept.
     """
-    rows = docs_of(docs).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 62))))
+    return _joined(docs_of(docs), rules).select("doc_id", "text", "found")
+
+
+def _joined(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``rows`` with their spans in ``found``."""
+    keyed = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))))
     indexed = [i for i, rule in enumerate(rules) if derive(rule.pattern)]
-    hits = candidates(rows, rules)
-    joined = rows.join(hits, "doc", "left")
+    joined = keyed.join(candidates(keyed, rules), "doc", "left")
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     found = []
     for i, rule in enumerate(rules):
         spans = spans_of(F.col("text"), rule, i)
         found.append(F.when(F.array_contains("rules", i), spans).otherwise(none) if i in indexed else spans)
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*found)).alias("found"))
+    return joined.withColumn("found", F.array_sort(F.concat(*found)))
 
 
 def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, by: str = "<secret>") -> DataFrame:
-    """``doc_id, text`` with each text's secrets replaced by ``by``; overlapping spans become one."""
-    found = scan(docs, rules)
+def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, by: str = "<secret>") -> DataFrame:
+    """The rows of ``docs``, all columns, with the secrets in ``text`` replaced by ``by``.
+
+    Overlapping spans become one. Null texts stay null. ``n_chars``, where it is a
+    column, is counted anew for texts that changed.
+    """
+    own = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id"), F.col("text"), F.struct(F.lit(0).alias("_"), *own).alias("rest"))
+    found = _joined(rows.withColumn("was_null", F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit(""))), rules)
     rebuilt = F.aggregate(
         "found",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -118,7 +128,8 @@ def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, by: str = "<secret>")
         ),
         lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text"))),
     )
-    return found.select("doc_id", F.when(F.size("found") == 0, F.col("text")).otherwise(rebuilt).alias("text"), "found")
+    new = found.select("doc_id", F.when(F.col("was_null"), F.lit(None)).when(F.size("found") == 0, F.col("text")).otherwise(rebuilt).alias("text"), F.size("found").alias("hits"), "rest")
+    return new.select(*[F.col(c) if c in ("doc_id", "text") else (F.when((F.col("hits") > 0), F.length("text").cast(dict(docs.dtypes)[c])).otherwise(F.col("rest")[c]).alias(c) if c == "n_chars" else F.col("rest")[c].alias(c)) for c in docs.columns])
 
 
 def _of_rank(rank: int):
