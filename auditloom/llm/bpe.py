@@ -22,10 +22,11 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from auditloom.llm.common import docs_of, read, tune
+from auditloom.llm.common import map_texts, read
 
 #: Bytes up to which a stretch is merged directly rather than halved.
 LEAF = 24
@@ -132,54 +133,54 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, ids array<int>`` for every row; null and empty texts have no ids."""
-    tune(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         vocab = vocabulary(path, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [vocab.encode(t) for t in pdf["text"]]})
+        return lambda texts: [[vocab.encode(t) for t in texts]]
 
-    return docs_of(docs).mapInPandas(run, "doc_id long, ids array<int>")
+    return map_texts(docs, {"ids": "array<int>"}, begin)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, text`` from ``doc_id, ids``; bytes that aren't UTF-8 become replacement signs."""
+    """``doc_id, text`` from ``doc_id, ids``; null ids give the empty text, bytes that aren't UTF-8 replacement signs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [vocab.decode(list(ids if ids is not None else [])).decode(errors="replace") for ids in pdf["ids"]]})
+        for batch in batches:
+            texts = [vocab.decode(ids or []).decode(errors="replace") for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Counts and hashes of the ids and of what they decode to, one row per document."""
-    tune(docs.sparkSession)
+class Digester:
+    """Counts and hashes of the ids of texts and of what they decode to; pieces met before are not encoded again."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = vocabulary(path, pattern)
-        known: dict[str, tuple[int, str, bytes]] = {}  # a piece's encoding, and the decoding of its ids
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                got = []
-                for piece in vocab.split(text):
-                    hit = known.get(piece)
-                    if hit is None:
-                        ids = vocab.encode_piece(piece.encode())
-                        hit = (len(ids), ",".join(map(str, ids)), vocab.decode(ids))
-                        if len(known) >= CACHE:
-                            known.clear()
-                        if len(piece) <= 64:
-                            known[piece] = hit
-                    got.append(hit)
-                rows.append((sum(x[0] for x in got), hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest(), hashlib.sha256(b"".join([x[2] for x in got])).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            yield out
-
-    return docs_of(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.known: dict[str, tuple[int, str, bytes]] = {}  # a piece's encoding, and the decoding of its ids
+
+    def piece(self, piece: str) -> tuple[int, str, bytes]:
+        ids = self.vocab.encode_piece(piece.encode())
+        got = (len(ids), ",".join(map(str, ids)), self.vocab.decode(ids))
+        if len(piece) <= 64:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[piece] = got
+        return got
+
+    def text(self, text: str) -> tuple[int, str, str]:
+        known, piece = self.known, self.piece
+        got = [known.get(p) or piece(p) for p in self.vocab.split(text)]
+        return sum([x[0] for x in got]), hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest(), hashlib.sha256(b"".join([x[2] for x in got])).hexdigest()
+
+    def __call__(self, texts: list[str]):
+        return list(zip(*map(self.text, texts), strict=True))
+
+
+def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; null and empty texts have no tokens."""
+    return map_texts(docs, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, lambda: Digester(vocabulary(path, pattern)))
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

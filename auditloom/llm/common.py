@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,40 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+
+
+def map_texts(docs: DataFrame, fields: dict[str, str], begin: Callable[[], Callable[[list[str]], Sequence]], types: dict[str, pa.DataType] | None = None) -> DataFrame:
+    """``doc_id`` and ``fields`` (name: type) for every row of ``doc_id, text``.
+
+    ``begin`` runs once per task and gives the function from a batch's texts to
+    the fields' columns. doc_id passes through as it is, null or not.
+    """
+    tune(docs.sparkSession)
+    kinds = [(types or {}).get(n) or ARROW[t] for n, t in fields.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = begin()
+        for batch in batches:
+            columns = work(batch.column("text").to_pylist()) if batch.num_rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", *fields])
+
+    return docs_of(docs).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} {t}" for n, t in fields.items())]))
+
+
+def keep_rows(docs: DataFrame, begin: Callable[[], Callable[[list[str]], Sequence[bool]]]) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, for whose texts (null: empty) the function says so."""
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = begin()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(work([t or "" for t in batch.column("text").to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column end to end, and the offsets of its rows, without copying."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,11 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import docs_of, read, tune
+from auditloom.llm.common import docs_of, keep_rows, read, tune
 
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.07
@@ -153,32 +153,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) ->
     repeated row repeats its matches; without items there are no rows.
     """
     tune(docs.sparkSession)
-    rows, schema = docs_of(docs), "doc_id long, item_id long, start int, end int, distance int"
+    rows, fields = docs_of(docs), [("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]
 
     def searched(items: list[tuple[int, str]]) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate)
-            for pdf in batches:
-                yield pd.DataFrame([(d, *m) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for m in matcher.find(normal(t))], columns=["doc_id", "item_id", "start", "end", "distance"])
+            for batch in batches:
+                found = [(i, *m) for i, t in enumerate(batch.column("text").to_pylist()) for m in matcher.find(normal(t))]
+                if found:
+                    at, *columns = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], names=["doc_id", *(n for n, _ in fields)])
 
-        return rows.mapInPandas(run, schema)
+        return rows.mapInArrow(run, SCHEMA)
 
     parts = [searched(items) for items in item_blocks(benchmark)]
-    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+SCHEMA = "doc_id long, item_id long, start int, end int, distance int"
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found: one pass over them per block of items."""
-    tune(docs.sparkSession)
-    fields, schema = docs.columns, docs.schema
     for items in item_blocks(benchmark):
 
-        def run(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
+        def begin(items=items):
             matcher = Matcher(items, rate)
-            for pdf in batches:
-                yield pdf.loc[[not matcher.find(normal(t)) for t in pdf["text"].fillna("")], fields]
+            return lambda texts: [not matcher.find(normal(t)) for t in texts]
 
-        docs = docs.mapInPandas(run, schema)
+        docs = keep_rows(docs, begin)
     return docs
 
 

@@ -6,10 +6,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from auditloom.llm.common import docs_of, read, tune
+from auditloom.llm.common import map_texts, read
 
 #: The contract's four kinds in its order, then added kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -93,35 +93,29 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """``doc_id, spans array<struct<kind,start,end,score>>`` for every row, in code points, end exclusive.
 
     Null and empty texts have no spans; equal rows give equal spans.
     """
-    tune(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [[{"kind": KINDS[k], "start": s, "end": e, "score": score(t, k, s)} for k, s, e in find(t)] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": found})
+    def work(texts: list[str]):
+        return [[[{"kind": KINDS[k], "start": s, "end": e, "score": score(t, k, s)} for k, s, e in find(t)] for t in texts]]
+
+    return map_texts(docs, {"spans": "array<struct<kind:string,start:int,end:int,score:double>>"}, lambda: work, {"spans": SPANS})
+
 
-    return docs_of(docs).mapInPandas(run, "doc_id long, spans array<struct<kind:string,start:int,end:int,score:double>>")
+def summary(text: str) -> tuple:
+    """Counts of the base kinds, hash of their spans, all spans, and the best score."""
+    spans = find(text)
+    base = [x for x in spans if x[0] < BASE]
+    kinds = [x[0] for x in base]
+    return (*(kinds.count(k) for k in range(BASE)), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), max((score(text, k, s) for k, s, _ in spans), default=0.0))
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
-    tune(spark)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                spans = find(text)
-                base = [x for x in spans if x[0] < BASE]
-                kinds = [x[0] for x in base]
-                top = max((score(text, k, s) for k, s, _ in spans), default=0.0)
-                rows.append((*(kinds.count(k) for k in range(BASE)), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), top))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "top_score"])
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            yield out
-
-    return docs_of(read(spark, sf_dir, "documents")).mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, top_score double")
+    fields = {f"n_{k}": "long" for k in KINDS[:BASE]} | {"base_sha256": "string", "spans": "string", "top_score": "double"}
+    return map_texts(read(spark, sf_dir, "documents"), fields, lambda: lambda texts: list(zip(*map(summary, texts), strict=True)))

@@ -8,11 +8,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import docs_of, read, tune
+from auditloom.llm.common import map_texts, read, tune
 
 BLOCK = 192  # bytes of an ADPCM block, and the unit payloads are padded to
 RATE = 8000
@@ -138,18 +138,21 @@ def resampled(media: DataFrame) -> DataFrame:
     """
     tune(media.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parsed: list[tuple[str, int, bytes] | None] = []
-            for m in pdf["media"]:
-                try:
-                    parsed.append(unwav(bytes(m)) if m is not None else None)
-                except (ValueError, struct.error):
-                    parsed.append(None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parsed = [_parsed(m) for m in batch.column("media").to_pylist()]
             pcm = expand([(p[0], p[2]) if p else ("", b"") for p in parsed])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "pcm_wav": [wav(upsample(x).astype("<i2").tobytes(), "pcm", 2 * p[1]) if p else None for x, p in zip(pcm, parsed, strict=True)]})
+            out = [wav(upsample(x).astype("<i2").tobytes(), "pcm", 2 * p[1]) if p else None for x, p in zip(pcm, parsed, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "pcm_wav"])
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInPandas(run, "doc_id long, pcm_wav binary")
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, pcm_wav binary")
+
+
+def _parsed(media: bytes | None) -> tuple[str, int, bytes] | None:
+    try:
+        return unwav(bytes(media)) if media is not None else None
+    except (ValueError, struct.error):
+        return None
 
 
 def payload_of(text: str) -> tuple[int, bytes]:
@@ -171,33 +174,28 @@ def stored(docs: DataFrame) -> DataFrame:
 
     The payload's checksum picks the codec, whose unit (a G.711 code or an
     ADPCM block) is stored as it is, so the bytes read back are the payload.
+    Null and empty texts are one unit of spaces; equal texts give equal files.
     """
-    tune(docs.sparkSession)
+    return map_texts(docs, {"media": "binary"}, lambda: lambda texts: [[container(payload_of(t)[1]) for t in texts]])
+
+
+def container(payload: bytes) -> bytes:
+    return wav(payload, CODECS[zlib.crc32(payload) % len(CODECS)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            payloads = [payload_of(t)[1] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "media": [wav(p, CODECS[zlib.crc32(p) % len(CODECS)]) for p in payloads]})
 
-    return docs_of(docs).mapInPandas(run, "doc_id long, media binary")
+def described(texts: list[str]) -> list:
+    """The query's columns for a batch of texts."""
+    rows, items = [], []
+    for text in texts:
+        n, payload = payload_of(text)
+        media = container(payload)
+        codec, _, back = unwav(media)
+        items.append((codec, back))
+        rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest()))
+    features = [f"{codec}:{feature(pcm)}" for (codec, _), pcm in zip(items, expand(items), strict=True)]
+    return [*zip(*rows, strict=True), features]
 
 
 def op5_telephony(spark, sf_dir: str) -> DataFrame:
-    tune(spark)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows, items = [], []
-            for text in pdf["text"]:
-                n, payload = payload_of(text)
-                media = wav(payload, CODECS[zlib.crc32(payload) % len(CODECS)])
-                codec, _, back = unwav(media)
-                items.append((codec, back))
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].values)
-            out["feature"] = [f"{codec}:{feature(pcm)}" for (codec, _), pcm in zip(items, expand(items), strict=True)]
-            yield out
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs_of(read(spark, sf_dir, "documents")).mapInPandas(run, schema)
+    fields = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    return map_texts(read(spark, sf_dir, "documents"), fields, lambda: described)

@@ -22,13 +22,14 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import crc_mod, docs_of, read, tune
+from auditloom.llm.common import crc_mod, docs_of, keep_rows, map_texts, read, tune
 
 #: The grammar's words.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "vermin", "filth", "jerk", "dumb")
@@ -140,13 +141,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 5
     return w
 
 
+@lru_cache(maxsize=2)
+def _scorer(learned: tuple[tuple[str, float], ...]) -> Scorer:
+    return Scorer(dict(learned))
+
+
 @dataclass(frozen=True)
 class Model:
     learned: dict[str, float]
     weights: tuple[float, ...]
 
-    def scores(self, texts) -> np.ndarray:
-        scorer, w = Scorer(self.learned), np.array(self.weights)
+    def scores(self, texts: list[str]) -> np.ndarray:
+        scorer, w = _scorer(tuple(sorted(self.learned.items()))), np.array(self.weights)
         x = np.array([scorer.features(t) for t in texts]).reshape(-1, 4)
         return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
 
@@ -158,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     words, so a text that was copied often does not teach its own words.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
+    tune(docs.sparkSession)
     rows = docs_of(docs).join(F.broadcast(chosen), "doc_id")  # at most train_rows pairs of numbers
     words = rows.groupBy(F.md5("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("word"))
     counted = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where((F.col("pos") >= LEAST_DOCS) & (F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg"))))
@@ -177,26 +184,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, predicted`` for every row; null and empty texts get the score of no match."""
-    tune(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = model.scores(pdf["text"])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s, "predicted": (s >= 0.5).astype("int32")})
+    def work(texts: list[str]):
+        s = model.scores(texts)
+        return s, (s >= 0.5).astype("int32")
 
-    return docs_of(docs).mapInPandas(run, "doc_id long, score double, predicted int")
+    return map_texts(docs, {"score": "double", "predicted": "int"}, lambda: work)
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model does not call toxic."""
-    tune(docs.sparkSession)
-    fields, schema = docs.columns, docs.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.loc[model.scores(pdf["text"].fillna("")) < 0.5, fields]
-
-    return docs.mapInPandas(run, schema)
+    """The rows of ``docs``, all columns, that the model does not call toxic; null texts are empty ones."""
+    return keep_rows(docs, lambda: lambda texts: model.scores(texts) < 0.5)
 
 
 def train_labels(labels: DataFrame) -> DataFrame:
@@ -204,7 +202,6 @@ def train_labels(labels: DataFrame) -> DataFrame:
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
-    tune(spark)
     docs = read(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, train_labels(read(spark, sf_dir, "labels"))))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
