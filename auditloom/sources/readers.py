@@ -79,7 +79,7 @@ def prior_batches(dump: DataFrame, batch: int, tables: int, first: int = 0, step
 
 def generated(spark: SparkSession, tables: int, rows: int, features: int, classes: int = 2, seed: int = 0) -> DataFrame:
     """A prior dump of random linear classification tables, made where it is used."""
-    base = spark.range(tables).select(F.col("id").alias("table_id")).withColumn("row_id", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long"))
+    base = spark.range(tables).select(F.col("id").alias("table_id")).withColumn("row_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
     x = F.array(*[rng.normal(seed, f"x{j}", "table_id", "row_id") for j in range(features)])
     w = [rng.normal(seed, f"w{j}", "table_id") for j in range(features)]
     score = reduce(lambda a, b: a + b, [F.get("x", F.lit(j)) * w[j] for j in range(features)])
