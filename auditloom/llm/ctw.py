@@ -37,6 +37,8 @@ DEPTH = 6
 BLOCK_BYTES = 32 << 20
 #: Text that is worked on at once within a block.
 PART_BYTES = 2 << 20
+#: Buckets of contexts for each bucket of strings: a tree takes more memory than the counts it is made of.
+CONTEXT_BUCKETS = 4
 EDGE = 255  # never a byte of UTF-8: stands before a text and after it
 #: Kinds of rows that travel: see ``blocks``.
 WORD, GRAM, SCORE, TOTAL = 1, 2, 3, 4
@@ -101,36 +103,35 @@ def cut(keys: np.ndarray, depth_from: int, depth: int) -> np.ndarray:
     return ((keys >> np.uint64(8 * (depth_from - depth + 1))) << np.uint64(8)) | (keys & np.uint64(255))
 
 
-def weigh(keys: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> dict[tuple[int, int], Level]:
-    """Levels from ``depth`` up to ``top`` of the trees over sorted (context, byte) keys with positive counts."""
-    levels: dict[tuple[int, int], Level] = {}
-    if not len(keys):
-        return levels
-    k, c = keys, counts.astype(float)
-    for d in range(depth, top - 1, -1):
-        if d < depth:
-            k, c = bl.summed([cut(k, d + 1, d)], [c])
-        for bit in range(8):
+def depths(keys: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted (context, byte) keys with positive counts, for contexts of ``depth`` down to ``top`` bytes."""
+    out = {depth: (keys, counts.astype(float))}
+    for d in range(depth - 1, top - 1, -1):
+        k, c = out[d + 1]
+        out[d] = bl.summed([cut(k, d + 1, d)], [c])
+    return out
+
+
+def weigh(by_depth: dict[int, tuple[np.ndarray, np.ndarray]], bit: int) -> dict[int, Level]:
+    """The weighted trees of one bit, by depth; the bits' trees do not touch, so one is held at a time."""
+    levels: dict[int, Level] = {}
+    for d in sorted(by_depth, reverse=True):
+        k, c = by_depth[d]
+        if len(k):
             ids, a, b = _nodes(k, c, bit)
-            levels[d, bit] = Level(ids, a, b, children_sum(levels[d + 1, bit], ids, bit) if d < depth else None)
+            levels[d] = Level(ids, a, b, children_sum(levels[d + 1], ids, bit) if d + 1 in levels else None)
     return levels
 
 
-def log10_of(keys: np.ndarray, levels: dict[tuple[int, int], Level], depth: int = DEPTH) -> np.ndarray:
-    """log10 of the mixed probability of each key's byte after its context."""
-    total = np.zeros(len(keys))
+def log10_of(keys: np.ndarray, levels: dict[int, Level], bit: int, depth: int = DEPTH) -> np.ndarray:
+    """log10 of the mixed probability of one bit of each key's byte after its context."""
     byte = keys & np.uint64(255)
-    for bit in range(8):
-        p = np.full(len(keys), 0.5)
-        for d in range(depth, -1, -1):
-            level = levels.get((d, bit))
-            if level is None:
-                continue
-            ids = ((keys >> np.uint64(8 * (depth - d + 1))) << np.uint64(bit)) | (byte >> np.uint64(8 - bit))
-            i, seen = level.at(ids)
-            p = np.where(seen, level.stop[i] * level.one[i] + (1 - level.stop[i]) * p, 0.5)
-        total += np.log10(np.where((byte >> np.uint64(7 - bit)) & np.uint64(1), p, 1 - p))
-    return total
+    p = np.full(len(keys), 0.5)
+    for d in sorted(levels, reverse=True):
+        ids = ((keys >> np.uint64(8 * (depth - d + 1))) << np.uint64(bit)) | (byte >> np.uint64(8 - bit))
+        i, seen = levels[d].at(ids)
+        p = np.where(seen, levels[d].stop[i] * levels[d].one[i] + (1 - levels[d].stop[i]) * p, 0.5)
+    return np.log10(np.where((byte >> np.uint64(7 - bit)) & np.uint64(1), p, 1 - p))
 
 
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -200,14 +201,14 @@ def _context_bucket(keys: np.ndarray, buckets: int, depth: int) -> np.ndarray:
     return _bucket(keys >> np.uint64(8 * (depth - 1)), buckets)
 
 
-def upper_levels(sums: pd.DataFrame) -> dict[tuple[int, int], Level]:
-    """Depths 1 and 0 from the sums of depth 2 (``bit, id, a, b, below``)."""
-    out: dict[tuple[int, int], Level] = {}
+def upper_levels(sums: pd.DataFrame) -> dict[int, dict[int, Level]]:
+    """Depths 1 and 0 of each bit from the sums of depth 2 (``bit, id, a, b, below``)."""
+    out: dict[int, dict[int, Level]] = {bit: {} for bit in range(8)}
     for bit, g in sums.sort_values(["bit", "id"]).groupby("bit"):
         one = Level(g["id"].to_numpy(np.int64).astype(np.uint64), g["a"].to_numpy(), g["b"].to_numpy(), g["below"].to_numpy())
         ids, inverse = np.unique(parent(one.ids, bit), return_inverse=True)
         add = lambda v, i=inverse: np.bincount(i, weights=v)
-        out[1, bit], out[0, bit] = one, Level(ids, add(one.a), add(one.b), add(one.log_w))
+        out[bit] = {1: one, 0: Level(ids, add(one.a), add(one.b), add(one.log_w))}
     return out
 
 
@@ -223,6 +224,7 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
     spark = docs.sparkSession
     tune(spark)
     buckets = block_count(docs, block_bytes)
+    contexts = CONTEXT_BUCKETS * buckets
     text = bl.dealt(docs.select("doc_id", "text", "train"), bl.by_hash(buckets))
 
     def send(block, got):
@@ -237,7 +239,7 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
 
     def add_up(bucket, got):
         keys, counts = totals(got, GRAM)
-        yield from bl.scatter(GRAM, bucket, keys, _context_bucket(keys, buckets, depth), n=counts)
+        yield from bl.scatter(GRAM, bucket, keys, _context_bucket(keys, contexts, depth), n=counts)
         _, n = totals(got, WORD)
         yield TOTAL, -1, bucket, bl.squeeze(tokens=np.array([n.sum()]), distinct=np.array([np.count_nonzero(n)]))
 
@@ -248,12 +250,12 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
     def subtree(got):
         parts = [bl.expand(data) for _, data in got[GRAM]]
         keys, counts = bl.summed([bl.numbers(p, "key") for p in parts], [bl.numbers(p, "n") for p in parts])
-        return weigh(keys[counts > 0], counts[counts > 0], 2, depth)
+        return depths(keys[counts > 0], counts[counts > 0], 2, depth)
 
     def tops(table: pa.Table) -> pa.Table:
-        levels, out = subtree(bl.packed_rows(table)), []
+        by_depth, out = subtree(bl.packed_rows(table)), []
         for bit in range(8):
-            if (level := levels.get((2, bit))) is not None:
+            if (level := weigh(by_depth, bit).get(2)) is not None:
                 ids, inverse = np.unique(parent(level.ids, bit), return_inverse=True)
                 out.append(pd.DataFrame({"bit": np.int32(bit), "id": ids.astype(np.int64)} | {n: np.bincount(inverse, weights=v) for n, v in (("a", level.a), ("b", level.b), ("below", level.log_w))}))
         empty = pd.DataFrame({"bit": pd.Series(dtype="int32"), "id": pd.Series(dtype="int64")} | {n: pd.Series(dtype="float64") for n in ("a", "b", "below")})
@@ -262,14 +264,21 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
     sums = strings.groupBy("at").applyInArrow(tops, "bit int, id long, a double, b double, below double").groupBy("bit", "id").agg(*[F.sum(c).alias(c) for c in ("a", "b", "below")])
     upper = upper_levels(sums.toPandas())  # at most 256 contexts times 255 decisions
 
-    def evaluate(_, got):
-        levels = subtree(got) | upper
-        for origin, data in got[GRAM]:
-            yield SCORE, origin, _, bl.squeeze(v=log10_of(bl.numbers(bl.expand(data), "key"), levels, depth))
+    def evaluate(context, got):
+        by_depth = subtree(got)
+        asked = [(origin, bl.numbers(bl.expand(data), "key")) for origin, data in got[GRAM]]
+        every = np.concatenate([keys for _, keys in asked])
+        total = np.zeros(len(every))
+        for bit in range(8):
+            total += log10_of(every, weigh(by_depth, bit) | upper[bit], bit, depth)
+        at = 0
+        for origin, keys in asked:
+            yield SCORE, origin, context, bl.squeeze(v=total[at : at + len(keys)])
+            at += len(keys)
 
     def answer(bucket, got):
         keys, counts = totals(got, GRAM)
-        logs = bl.gather(got.get(SCORE, []), _context_bucket(keys, buckets, depth), "v", np.zeros(len(keys)))
+        logs = bl.gather(got.get(SCORE, []), _context_bucket(keys, contexts, depth), "v", np.zeros(len(keys)))
         vocabulary, seen = totals(got, WORD)
         for kind, every, values in ((GRAM, keys, logs), (WORD, vocabulary, seen)):
             for origin, data in got.get(kind, []):

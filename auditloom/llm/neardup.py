@@ -5,12 +5,14 @@
    empty bin copies from a bin picked by its own sequence of draws (optimal
    densification).
 2. Documents with equal sets are one node. Bands of the signature are buckets.
-3. In each bucket, every node is compared with one centre, so a bucket of n nodes
-   gives n - 1 candidate edges. Candidates are confirmed on full sets.
-4. Buckets that still hold nodes of different groups get further centres, until
-   the pairs left are few; these are then all compared. So a star that missed a
-   link between two of its points does not lose it.
-5. Groups come from alternating large-star and small-star steps on the edges.
+3. In each bucket every node has one candidate edge, to the bucket's least node,
+   so a bucket of n nodes gives n - 1 of them. What these edges connect is a
+   cluster: all nodes that share a bucket are in one.
+4. Within a cluster, every node is held against one centre on full sets. Nodes
+   that are not similar to it are then looked up in the cluster's postings,
+   block by block, so that no link between two points of a star is lost. A block
+   sends on a spanning forest of the links it finds, never all of them.
+5. Groups come from alternating large-star and small-star steps on these edges.
 """
 
 from __future__ import annotations
@@ -27,21 +29,22 @@ from auditloom.llm.common import byte_view, docs_of, materialize, mix64, read, t
 from auditloom.llm.textbytes import lowered, shingles, words
 
 WORDS = 5
-BANDS, ROWS = 32, 4
+#: A pair at the threshold misses all buckets with a probability of (1 - 0.75**ROWS)**BANDS, 2e-5.
+BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 SIMILARITY = 75  # per cent
-#: Node ids that are broadcast at most (8 bytes each); beyond that the join shuffles.
+#: Ids that are broadcast at most (8 bytes each); beyond that the join shuffles.
 BROADCAST_IDS = 500_000
-#: Pairs left that are compared at once, per node in a bucket; with more, buckets get another centre first.
-PAIRS_PER_NODE, MOST_ROUNDS = 4, 12
+#: Nodes of a cluster that one task looks up, and those it looks them up among.
+BLOCK_NODES = 1000
 
-_DRAWS = (mix64((np.arange(512, dtype=np.uint64)[:, None] << np.uint64(8)) + np.arange(BINS, dtype=np.uint64) + np.uint64(77)) % np.uint64(BINS)).astype(np.int64)
+_DRAWS = (mix64((np.arange(1024, dtype=np.uint64)[:, None] << np.uint64(10)) + np.arange(BINS, dtype=np.uint64) + np.uint64(77)) % np.uint64(BINS)).astype(np.int64)
 _SALTS = mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(1000))
 
 
 def signature(sorted_set: np.ndarray) -> np.ndarray:
     """Least value of each bin of a non-empty sorted set, with empty bins densified."""
-    bins = (sorted_set >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    bins = (((sorted_set >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
     out, filled = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
     out[bins[first]], filled[bins[first]] = sorted_set[first], True
@@ -108,7 +111,7 @@ def _set_id(s: np.ndarray) -> bytes:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label`` with the least node reachable over ``a, b`` edges, by large-star and small-star steps."""
+    """``node, label`` with the least node reachable over ``a, b`` edges, itself included, by large-star and small-star steps."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = _fingerprint(edges)
     while True:
@@ -120,7 +123,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(small)
         after = _fingerprint(edges)
         if before == after:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(roots)
         before = after
 
 
@@ -128,13 +132,6 @@ def _fingerprint(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The ``a, b`` of ``pairs`` whose full sets are similar enough."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * similarity).select("a", "b")
-
-
 def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -147,14 +144,16 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     rows = docs_of(docs)
     sig = materialize(signed(rows))
     nodes = sig.where("set_id is not null").groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("named"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    keys = materialize(nodes.select("node", "named", "n", F.explode("bands").alias("key")))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    buckets = materialize(keys.join(shared, "key"))
-    needed = buckets.select(F.col("named").alias("wanted")).distinct()
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("c")).where("c > 1").select("key", "centre")
+    candidates = materialize(keys.join(centres, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
+    clusters = materialize(components(candidates).withColumnRenamed("label", "cluster"))
+    named = nodes.select("node", "named").join(clusters, "node")
+    needed = materialize(named.select(F.col("named").alias("wanted")).distinct())
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
-    sets = materialize(full_sets(rows.join(needed, rows["doc_id"].eqNullSafe(F.col("wanted")), "left_semi").select("text")).dropDuplicates(["node"]))
-    links = _links(buckets.drop("named"), sets, similarity)
+    sets = materialize(full_sets(rows.join(needed, rows["doc_id"].eqNullSafe(F.col("wanted")), "left_semi").select("text")).dropDuplicates(["node"]).join(clusters, "node"))
+    links = _links(candidates, sets, similarity)
     # rows of one doc_id with different sets are one document
     several = sig.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("doc_id is not null and lo <> hi").select("doc_id", "lo")
     same_id = sig.join(several, "doc_id").where("set_id <> lo").select(F.col("set_id").alias("a"), F.col("lo").alias("b"))
@@ -165,32 +164,63 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(buckets: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Confirmed edges that join all nodes which any bucket brings together and whose sets are similar."""
-    spark = buckets.sparkSession
-    ratio = (F.least("n", "cn") * 100) >= (F.greatest("n", "cn") * similarity)  # no similar sets differ more in size
-    found = spark.createDataFrame([], "a binary, b binary")
-    open_ = buckets.withColumn("label", F.col("node"))
-    for turn in range(MOST_ROUNDS):
-        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        centre = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), order).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), F.col("c.label").alias("cl"))
-        pairs = open_.join(centre, "key").where((F.col("label") != F.col("cl")) & ratio).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-        found = materialize(found.unionAll(confirmed(pairs, sets, similarity)))
-        labels = components(found)
-        state = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        per = state.groupBy("key", "label").agg(F.count("*").alias("k"))
-        mixed = per.groupBy("key").agg(F.count("*").alias("labels"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same")).where("labels > 1").withColumn("pairs", (F.col("n") * F.col("n") - F.col("same")) / 2)
-        mixed = materialize(mixed.select("key", "n", "pairs"))
-        left = mixed.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-        if not left["n"]:
-            return found
-        open_ = materialize(state.join(mixed.select("key"), "key"))
-        if left["pairs"] <= PAIRS_PER_NODE * left["n"]:
-            break
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, "key").where((F.col("x.node") > F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * similarity))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return materialize(found.unionAll(confirmed(rest, sets, similarity)))
+def _links(candidates: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Edges ``a, b`` between similar sets of ``node, items, cluster``, such that all similar sets are connected."""
+    degree = candidates.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("degree"))
+    picked = sets.select("node", "cluster").join(degree, "node", "left").groupBy("cluster").agg(F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("centre"))
+    centres = sets.select(F.col("node").alias("centre"), F.col("items").alias("own")).join(picked, "centre")
+    both = F.size(F.array_intersect("items", "own"))
+    core = both * 100 >= (F.size("items") + F.size("own") - both) * similarity
+    starred = materialize(sets.join(centres, "cluster").select("cluster", "node", "centre", core.alias("core")))
+    sizes = starred.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("nb"), F.ceil(F.sum((~F.col("core")).cast("int")) / BLOCK_NODES).cast("int").alias("nq")).where("nq > 0")
+    rows = sets.join(starred.select("node", "core"), "node").join(sizes, "cluster").withColumn("h", F.xxhash64("node"))
+    members = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.pmod("h", "nb").cast("int").alias("mb"), F.lit(False).alias("query"), "node", "core", "items")
+    queries = rows.where("not core").select("cluster", F.pmod("h", "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("mb"), F.lit(True).alias("query"), "node", "core", "items")
+
+    def look_up(table: pa.Table) -> pa.Table:
+        return _spanning(table, similarity)
+
+    found = members.unionAll(queries).groupBy("cluster", "qb", "mb").applyInArrow(look_up, "a binary, b binary")
+    stars = starred.where("core and node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    return stars.unionAll(found)
+
+
+def _spanning(table: pa.Table, similarity: int) -> pa.Table:
+    """Links between a task's queries and members that join what was not joined before; core members are joined already."""
+    query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
+    sides = []
+    for side in (table.filter(pa.array(~query)), table.filter(pa.array(query))):
+        items = side.column("items").combine_chunks()
+        items = items if isinstance(items, pa.ListArray) else items.chunk(0)
+        offsets = items.offsets.to_numpy()
+        sides.append((side.column("node").to_pylist(), items.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0], side.column("core").to_numpy(zero_copy_only=False).astype(bool)))
+    (members, held, cuts, core), (queries, asked, bounds, _) = sides
+    sizes = np.diff(cuts)
+    owner = np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    first_core = int(np.flatnonzero(core)[0]) if core.any() else -1
+    root = {q: q for q in queries} | {m: members[first_core] if c else m for m, c in zip(members, core, strict=True)}
+
+    def find(x: bytes) -> bytes:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    edges = []
+    for i, q in enumerate(queries):
+        own = asked[bounds[i] : bounds[i + 1]]
+        lo, hi = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+        n = hi - lo
+        hits = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        shared = np.bincount(hits, minlength=len(members))
+        for j in np.flatnonzero(shared * 100 >= (sizes + len(own) - shared) * similarity):
+            a, b = find(q), find(members[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                edges.append((q, members[j]))
+    return pa.table([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], names=["a", "b"])
 
 
 def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
