@@ -33,10 +33,10 @@ from auditloom.llm import blocks as bl
 from auditloom.llm.common import block_count, byte_view, crc_mod, docs_of, materialize, mix64, read, tune
 from auditloom.llm.textbytes import lowered, words
 
-DEPTH = 6
+DEPTH = 5
 BLOCK_BYTES = 32 << 20
 #: Text that is worked on at once within a block.
-PART_BYTES = 2 << 20
+PART_BYTES = 4 << 20
 #: Buckets of contexts for each bucket of strings: a tree takes more memory than the counts it is made of.
 CONTEXT_BUCKETS = 4
 EDGE = 255  # never a byte of UTF-8: stands before a text and after it
@@ -135,15 +135,20 @@ def log10_of(keys: np.ndarray, levels: dict[int, Level], bit: int, depth: int =
 
 
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(context, byte) keys of every byte and of the end, nearest context byte first; and where each text's begin."""
+    """(context, byte) keys of every byte and of the end, nearest context byte first; and where each text's begin.
+
+    Eight bytes read as a little-endian number have the last one in front, which
+    is the order of a context; ``depth`` is at most 6.
+    """
     pad = bytes([EDGE])
-    joined = np.frombuffer(b"".join([pad * depth + t + pad for t in texts]), np.uint8).astype(np.uint64)
+    joined = b"".join([pad * 8, *(pad * depth + t + pad for t in texts)])
+    raw = np.frombuffer(joined, np.uint8)
+    before = np.ndarray(len(raw) - 8, "<u8", joined, strides=(1,))  # the eight bytes before each place
+    keys = (before >> np.uint64(8 * (8 - depth))) << np.uint64(8)
+    keys |= raw[8:]
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    keys = joined.copy()
-    for j in range(1, depth + 1):
-        keys[j:] |= joined[:-j] << np.uint64(8 * (depth + 1 - j))
     starts = np.cumsum(sizes + depth) - sizes
-    real = np.ones(len(joined), bool)
+    real = np.ones(len(keys), bool)
     for j in range(1, depth + 1):
         real[starts - j] = False
     return keys[real], np.cumsum(sizes) - sizes
@@ -164,10 +169,35 @@ def _parts(chunks: list[tuple[int, bytes]]) -> Iterator[tuple[pa.Table, list[byt
 
 
 def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all words, and how many words each text has."""
+    """Fingerprints of all words (63 bits), and how many words each text has."""
     offsets = np.cumsum([0, *map(len, texts)])
     prints, before = words(np.frombuffer(b"".join(texts), np.uint8), offsets)
-    return prints, np.diff(before)
+    return prints >> np.uint64(1), np.diff(before)
+
+
+def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys (under 63 bits) and how often each is in training: one sort, the flag in the lowest bit."""
+    marked = (keys << np.uint64(1)) | train
+    marked.sort()
+    distinct = marked >> np.uint64(1)
+    first = np.flatnonzero(np.r_[True, distinct[1:] != distinct[:-1]])
+    return distinct[first], np.add.reduceat(marked & np.uint64(1), first).astype(np.int64)
+
+
+def _looked_up(every: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Values of keys of 48 bits at most, all of them in sorted ``every``.
+
+    Runs of 2**16 keys are sorted with their places in the low bits, since lookups
+    in order stay in cache and a plain sort is far cheaper than one of indexes.
+    """
+    out = np.empty(len(keys), values.dtype)
+    places = np.arange(1 << 16, dtype=np.uint64)
+    for a in range(0, len(keys), 1 << 16):
+        part = keys[a : a + (1 << 16)]
+        marked = (part << np.uint64(16)) | places[: len(part)]
+        marked.sort()
+        out[a : a + len(part)][(marked & np.uint64(0xFFFF)).astype(np.int64)] = values[np.searchsorted(every, marked >> np.uint64(16))]
+    return out
 
 
 def _distinct(chunks: list[tuple[int, bytes]], depth: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -178,16 +208,11 @@ def _distinct(chunks: list[tuple[int, bytes]], depth: int) -> dict[int, tuple[np
         prints, n = _words_of(texts)
         keys, starts = grams(texts, depth)
         sizes = np.diff(np.r_[starts, len(keys)])
-        for kind, own, each in ((WORD, np.r_[prints, END], np.r_[np.repeat(train, n), False]), (GRAM, keys, np.repeat(train, sizes))):
-            every = np.unique(own)
-            seen, count = np.unique(own[each], return_counts=True)
-            total = np.zeros(len(every), np.int64)
-            total[np.searchsorted(every, seen)] = count
-            if kind == WORD:
-                total[np.searchsorted(every, END)] += int(train.sum())
+        for kind, own, each in ((WORD, np.r_[prints, np.full(len(texts), END)], np.r_[np.repeat(train, n), train]), (GRAM, keys, np.repeat(train, sizes))):
             ks, cs = held[kind]
-            ks.append(every)
-            cs.append(total)
+            k, c = _counted(own, each)
+            ks.append(k)
+            cs.append(c)
             if len(ks) == 4:
                 held[kind] = tuple([x] for x in bl.summed(ks, cs))
     return {kind: bl.summed(ks, cs) for kind, (ks, cs) in held.items()}
@@ -273,16 +298,16 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
             total += log10_of(every, weigh(by_depth, bit) | upper[bit], bit, depth)
         at = 0
         for origin, keys in asked:
-            yield SCORE, origin, context, bl.squeeze(v=total[at : at + len(keys)])
+            yield SCORE, origin, context, bl.squeeze(v=total[at : at + len(keys)].astype(np.float32))
             at += len(keys)
 
     def answer(bucket, got):
         keys, counts = totals(got, GRAM)
-        logs = bl.gather(got.get(SCORE, []), _context_bucket(keys, contexts, depth), "v", np.zeros(len(keys)))
+        logs = bl.gather(got.get(SCORE, []), _context_bucket(keys, contexts, depth), "v", np.zeros(len(keys), np.float32))
         vocabulary, seen = totals(got, WORD)
         for kind, every, values in ((GRAM, keys, logs), (WORD, vocabulary, seen)):
             for origin, data in got.get(kind, []):
-                yield kind, origin, bucket, bl.squeeze(v=values[np.searchsorted(every, bl.numbers(bl.expand(data), "key"))])
+                yield kind, origin, bucket, bl.squeeze(v=values[np.searchsorted(every, bl.numbers(bl.expand(data), "key"))])  # sorted keys
 
     replies = bl.at_each(sent.unionAll(bl.at_each(strings, evaluate)), answer)
 
@@ -291,7 +316,7 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
         own = _distinct(got.get(bl.TEXT, []), depth)
         vocabulary, every = own[WORD][0], own[GRAM][0]
         count = bl.gather(got.get(WORD, []), _bucket(vocabulary, buckets), "v", np.zeros(len(vocabulary), np.int64))
-        logs = bl.gather(got.get(GRAM, []), _bucket(every, buckets), "v", np.zeros(len(every)))
+        logs = bl.gather(got.get(GRAM, []), _bucket(every, buckets), "v", np.zeros(len(every), np.float32))
         end = count[np.searchsorted(vocabulary, END)] if len(vocabulary) else 0
         out = []
         for part, texts in _parts(got.get(bl.TEXT, [])):
@@ -307,7 +332,7 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
                 "n_known": pa.array(np.bincount(row, weights=c > 0, minlength=len(texts)).astype(np.int64) + int(end > 0)),
                 "train_tokens": pa.array(np.full(len(texts), n_all, np.int64)),
                 "base_score": pa.array(per_word - (n + 1) * math.log10(n_all + n_distinct + 1)),
-                "score": pa.array(np.add.reduceat(logs[np.searchsorted(every, keys)], starts)),
+                "score": pa.array(np.add.reduceat(_looked_up(every, logs, keys).astype(float), starts)),
             }))
         return pa.concat_tables(out) if out else EMPTY
 
