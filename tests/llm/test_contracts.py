@@ -1,0 +1,190 @@
+"""The registered queries against plain versions, on the small tables."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import pytest
+
+from auditloom.llm.queries import QUERIES
+from tests.llm import brute
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    return {r["doc_id"]: r["text"] or "" for r in rows}
+
+
+@pytest.fixture(scope="module")
+def result(spark, sf):
+    done = {}
+
+    def get(name):
+        if name not in done:
+            done[name] = {r["doc_id"]: r.asDict() for r in QUERIES[name](spark, sf).collect()}
+        return done[name]
+
+    return get
+
+
+def crc(doc_id, m):
+    return zlib.crc32(str(doc_id).encode()) % m
+
+
+def test_op1(result, texts):
+    got = result("op1_ctw")
+    tokens = {d: [*WORD.findall(lower(t)), None] for d, t in texts.items()}
+    c = collections.Counter(w for d, ws in tokens.items() if crc(d, 7) != 2 for w in ws)
+    n, v = sum(c.values()), len(c)
+    assert got.keys() == texts.keys()
+    for d, ws in tokens.items():
+        r = got[d]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (crc(d, 7) == 2, len(ws), sum(c[w] > 0 for w in ws), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
+        assert r["score"] < 0
+
+
+def test_op2(spark, sf, result, texts):
+    got = result("op2_toxicity")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert got.keys() == texts.keys()
+    for d, r in got.items():
+        assert r["held_out"] == (crc(d, 5) == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
+    insulted = [d for d in labels if re.search(r"\b(idiot|moron|scum|trash)\b", texts[d].lower())]
+    clean = [d for d in labels if d not in insulted and not labels[d]]
+    assert insulted and min(got[d]["score"] for d in insulted) > max(got[d]["score"] for d in clean)
+
+
+def test_op3(result, texts):
+    got = result("op3_secrets")
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        want = brute.secrets(t)
+        assert {k: got[d][k] for k in want} == want
+
+
+def test_op4(result, texts):
+    got = result("op4_neardup")
+    sets = {}
+    for d, t in texts.items():
+        w = WORD.findall(lower(t))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    near, ids = {d: {d} for d in sets}, sorted(d for d in sets if sets[d])
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                near[a].add(b)
+                near[b].add(a)
+    for d in sets:
+        reached, todo = {d}, [d]
+        while todo:
+            new = near[todo.pop()] - reached
+            reached |= new
+            todo += new
+        assert (got[d]["n_shingles"], got[d]["component_id"], got[d]["kept"]) == (len(sets[d]), min(reached), min(reached) == d)
+
+
+def test_op5(result, texts):
+    from auditloom.llm import telephony as tel
+
+    got = result("op5_telephony")
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        raw = t.encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        r, media = got[d], tel.container(payload)
+        assert tel.unwav(media)[2] == payload
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), brute.sha(payload), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), brute.sha(media))
+
+
+def test_op6(spark, sf, texts):
+    found = {(r["doc_id"], r["item_id"]) for r in QUERIES["op6_decontamination"](spark, sf).collect()}
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    squeezed = {d: " ".join(t.lower().split()) for d, t in texts.items()}
+    exact = {(d, i) for d, t in squeezed.items() for i, x in items.items() if " ".join(x.lower().split()) in t}
+    assert exact and exact <= found
+
+
+def test_op7(result, texts):
+    got = result("op7_pii")
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        want = brute.pii(t)
+        assert {k: got[d][k] for k in want} == want
+
+
+def test_op8(result, texts):
+    import public_tokenizers
+    import tiktoken
+
+    from auditloom.llm.bpe import vocabulary
+
+    vocab = vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
+    got = result("op8_bpe")
+    for d, t in texts.items():
+        ids = plain.encode_ordinary(t)
+        assert (got[d]["n_tokens"], got[d]["ids_sha256"], got[d]["decoded_sha256"]) == (len(ids), brute.sha(",".join(map(str, ids))), brute.sha(t))
+
+
+def test_op9(result, texts):
+    got = result("op9_repeats")
+    check_repeats(got, {d: t.encode() for d, t in texts.items()})
+
+
+def check_repeats(got, texts):
+    first: dict[bytes, int] = {}
+    for d in sorted(texts):
+        for i in range(len(texts[d]) - 49):
+            first.setdefault(texts[d][i : i + 50], d)
+    for d, t in texts.items():
+        gone = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if first[t[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        spans = sum(1 for i in range(len(t)) if gone[i] and not (i and gone[i - 1]))
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        assert (got[d]["n_bytes"], got[d]["n_removed"], got[d]["n_spans"], got[d]["kept_sha256"]) == (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_op9_in_many_blocks(spark, sf, texts):
+    from auditloom.llm.repeats import find_repeats
+
+    rows = find_repeats(spark.read.parquet(f"{sf}/documents.parquet"), block_bytes=40_000).collect()
+    check_repeats({r["doc_id"]: r.asDict() for r in rows}, {d: t.encode() for d, t in texts.items()})
+
+
+def test_op1_in_many_blocks(spark, sf, result):
+    from auditloom.llm import ctw
+    from auditloom.llm.common import crc_mod, docs_of
+
+    docs = docs_of(spark.read.parquet(f"{sf}/documents.parquet")).withColumn("train", crc_mod("doc_id", 7) != 2)
+    one = result("op1_ctw")
+    for r in ctw.scored(docs, block_bytes=60_000).collect():
+        assert r["score"] == pytest.approx(one[r["doc_id"]]["score"], rel=1e-6)
+        assert r["base_score"] == pytest.approx(one[r["doc_id"]]["base_score"])
+
+
+def test_op10(result, texts):
+    got = result("op10_sharding")
+    assert got.keys() == texts.keys()
+    slots = collections.defaultdict(list)
+    for d, r in got.items():
+        raw = texts[d].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(slots) == list(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
