@@ -4,7 +4,7 @@ A suffix array of all positions would sort a row per byte several times over.
 The only order that matters here is whether the first ``LENGTH`` bytes of a
 suffix also start one in an earlier document, so ranks are class names, classes
 of one member are dropped as prefix doubling drops unique ranks, and names of
-growing length are made from pairs of shorter ones (1, 2, 4, 8, 16, 32, LENGTH):
+growing length are made from pairs of shorter ones (8, 16, 32, LENGTH):
 
 1. Exact copies of earlier texts are found by the whole text.
 2. Names of 16 bytes. Of the 35 that lie in a window of 50 bytes the least one
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm import blocks as bl
 from auditloom.llm.common import block_count, byte_view, docs_of, materialize, read, tune
-from auditloom.llm.textbytes import doubled
+from auditloom.llm.textbytes import names16, names_from
 
 LENGTH = 50
 SAMPLE = 16
@@ -64,12 +64,12 @@ class Part:
         # places of all windows, document by document, and the document of each
         self.row = np.repeat(np.arange(len(ids)), sizes)
         self.place = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(offsets[:-1], sizes)
-        if total:
-            sample = min(SAMPLE, length)
-            names, self.full = doubled(raw, [sample, length])
-            self.seed = least_of(names >> np.uint64(64 - SAMPLE_BITS), length - sample + 1)[self.place]
-        else:
-            self.seed = self.full = np.zeros(0, np.uint64)
+        self.names = names16(raw) if total else np.zeros(0, np.uint64)
+        self.seed = least_of(self.names >> np.uint64(64 - SAMPLE_BITS), length - SAMPLE + 1)[self.place] if total else self.names
+
+    def full(self, pick: np.ndarray) -> np.ndarray:
+        """Names of the whole windows of some indexes."""
+        return names_from(self.names, SAMPLE, self.length, self.place[pick])
 
     def seeds(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (name, document) pairs; runs of one name are common, so they are cut first."""
@@ -119,21 +119,20 @@ class Block:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for _, _, part in self.parts():
             held.append(_range(*part.seeds()))
-            if len(held) == 8:
+            if len(held) == 4:
                 held = [_merged(held)]
         names, low, high = _merged(held)
         return names, low != high
 
     def windows(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct names of candidate windows, and the first document here of each."""
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, _, part in self.parts():
             pick = part.candidates(shared)
-            held.append(_range(part.full[part.place[pick]], part.ids[part.row[pick]]))
-            if len(held) == 8:
-                held = [_merged(held)]
-        names, low, _ = _merged(held)
-        return names, low
+            held.append(_least([(part.full(pick), part.ids[part.row[pick]])]))
+            if len(held) == 4:
+                held = [_least(held)]
+        return _least(held)
 
     def shared(self, got: dict, buckets: int) -> np.ndarray:
         """Sampled names that another document has, here or elsewhere."""
@@ -159,6 +158,17 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
 
 
 
+def _least(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct names with the least id of each."""
+    if not sum(len(h[0]) for h in held):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    names, low = (np.concatenate([h[i] for h in held]) for i in range(2))
+    order = np.argsort(names, kind="stable")
+    names, low = names[order], low[order]
+    first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+    return names[first], np.minimum.reduceat(low, first)
+
+
 def _seed_bucket(names: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of names, so that a bucket's names differ little and pack well."""
     return ((names * np.uint64(buckets)) >> np.uint64(SAMPLE_BITS)).astype(np.int32)
@@ -202,7 +212,7 @@ def edges_of(docs: DataFrame, blocks: int) -> list[float]:
 def find_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the bytes left) for every row.
 
-    A byte goes if a ``length``-byte string over it also starts in a document with
+    ``length`` is at least 16. A byte goes if a ``length``-byte string over it also starts in a document with
     a smaller doc_id, judged on the input. Null and empty texts lose nothing; rows
     of one doc_id do not repeat each other; rows without doc_id come after all
     others and do not repeat each other; an empty table gives no rows.
@@ -242,7 +252,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK
         out = []
         for part_rows, copy, part in own.parts():
             pick = part.candidates(shared)
-            i = np.searchsorted(names, part.full[part.place[pick]])
+            i = np.searchsorted(names, part.full(pick))
             hit = pick[earlier[i] | (part.ids[part.row[pick]] > first_here[i])] if len(names) else pick[:0]
             change = np.zeros(len(part.raw) + 1, np.int32)
             np.add.at(change, part.place[hit], 1)

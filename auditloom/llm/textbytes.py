@@ -73,19 +73,22 @@ def shingles(prints: np.ndarray, size: int) -> np.ndarray:
     return mix64(total + np.uint64(k))
 
 
-def doubled(data: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    """Fingerprints of the strings of each size at each place, by doubling: a string's
-    fingerprint is made of those of its first and last parts, which may overlap.
-    Sizes grow at most twofold from one to the next, from powers of two on."""
-    out, size, names = [], 1, WEIGHTS[data]
-    for want in sizes:
-        while size * 2 <= want:
-            names = _paired(names, size, size)
-            size *= 2
-        out.append(names if size == want else _paired(names, size, want - size))
-    return out
-
-
-def _paired(names: np.ndarray, size: int, offset: int) -> np.ndarray:
-    n = max(0, len(names) - offset)
-    return mix64(names[:n] * PLACES[0] + names[offset : offset + n] * PLACES[1] + np.uint64(offset))
+def names16(data: np.ndarray) -> np.ndarray:
+    """A name for the 16 bytes at each place. The name of 8 bytes is the number that they are."""
+    if len(data) < 16:
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data).data, strides=(1,))
+    return mix64(eight[:-8] * PLACES[0] + eight[8:] * PLACES[1])
+
+
+def names_from(names: np.ndarray, size: int, length: int, places: np.ndarray) -> np.ndarray:
+    """Names of the ``length`` bytes at some places from those of ``size`` bytes everywhere: doubled
+    while they are too short, the last time with an overlap."""
+    if size == length:
+        return names[places]
+    if 2 * size >= length:
+        return mix64(names[places] * PLACES[2] + names[places + (length - size)] * PLACES[3])
+    half = size
+    while 2 * half < length:
+        half *= 2
+    return mix64(names_from(names, size, half, places) * PLACES[4] + names_from(names, size, half, places + (length - half)) * PLACES[5])
