@@ -134,6 +134,17 @@ def test_bpe_joins_are_exact():
         assert vocab.join(vocab.reduce(data[:cut]), vocab.reduce(data[cut:])) == vocab.reduce(data) == vocab.merge(data)
 
 
+def test_narrow_expression_is_equal():
+    import regex
+
+    wide, quick, rng = regex.compile(VOCAB[1]).findall, bpe.narrow(VOCAB[1]), random.Random(8)
+    every = "".join(map(chr, range(256)))
+    assert quick(every) == wide(every) and bpe.narrow(r"\p{Lu}+") is None
+    for _ in range(2000):
+        text = "".join(chr(rng.randrange(256)) if rng.random() < 0.5 else rng.choice("a1 '\n\u00e9s.") for _ in range(40))
+        assert quick(text) == wide(text)
+
+
 def test_bpe_round_trip(odd):
     back = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(odd.where("doc_id > 3"), *VOCAB), *VOCAB).collect()}
     assert back == {i: t for i, t in ROWS if i and i > 3}
