@@ -40,8 +40,11 @@ REPORTS = ("said", "says", "say", "wrote", "claimed", "reported", "quoted", "cal
 
 #: Labelled rows the model learns from at most: those of smallest hash.
 TRAIN_ROWS = 20_000
-#: Learned words: documents they must be in, the share of them that must be toxic, and how many are kept.
-LEAST_DOCS, LEAST_SHARE, MOST_WORDS = 12, 0.9, 400
+#: Learned words: toxic documents they must be in (a number, and a share of all toxic ones), the share of
+#: their documents that must be toxic, and how many are kept. Copies of one document count once.
+#: Beginnings of words of these lengths are learned too, as ``beginning*``: inflected insults share one.
+STEMS = (5, 6, 7)
+LEAST_DOCS, LEAST_OF_TOXIC, LEAST_SHARE, MOST_WORDS = 8, 0.004, 0.9, 400
 
 NEGATED_WORDS = 3
 
@@ -99,20 +102,31 @@ class Scorer:
     def __init__(self, learned: dict[str, float]):
         self.weight = dict.fromkeys(INSULTS, 1.0) | dict.fromkeys(THREATS, 0.7) | learned
         self.tag = dict.fromkeys(TARGETS, "G") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R") | dict.fromkeys(learned, "I") | dict.fromkeys(THREATS, "T") | dict.fromkeys(INSULTS, "I")
-        self.marked = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, sorted(self.weight))) + r")(?![^\W\d_])")
+        self.stems = {w[:-1]: v for w, v in learned.items() if w.endswith("*")}
+        known = [re.escape(w) for w in sorted(self.weight) if not w.endswith("*")] + [re.escape(w) + r"[^\W\d_]+" for w in sorted(self.stems)]
+        self.marked = re.compile(r"(?<![^\W\d_])(?:" + "|".join(known) + r")(?![^\W\d_])")
+
+    def read(self, word: str) -> tuple[str, float]:
+        """Tag and weight of a word, by itself or by how it begins."""
+        if word in self.tag:
+            return self.tag[word], self.weight.get(word, 0.5)
+        for n in STEMS:
+            if len(word) > n and word[:n] in self.stems:
+                return "I", self.stems[word[:n]]
+        return "w", 0.5
 
     def clause(self, text: str) -> float:
         state, total, strongest = 0, 0.0, 0.0
         for m in WORD.finditer(text):
-            word = m[0]
-            _, w, state = MACHINE.step(state, self.tag.get(word, "w"))
+            tag, weight = self.read(m[0])
+            _, w, state = MACHINE.step(state, tag)
             if w:
                 total += w
-                strongest = max(strongest, self.weight.get(word, 0.5))
+                strongest = max(strongest, weight)
         return total * strongest
 
     def features(self, text: str) -> tuple[float, float, float, float]:
-        """Best clause, log of all clauses, matched clauses (log), and score per root of length."""
+        """Best clause (up to one plain insult), log of all clauses, matched clauses (log), and score per root of length."""
         low, at, scores = text.lower(), 0, []
         while m := self.marked.search(low, at):
             start = max(low.rfind(c, 0, m.start()) for c in ".!?;\n") + 1
@@ -120,10 +134,10 @@ class Scorer:
             scores.append(self.clause(low[max(start, at) : end]))
             at = end
         total = sum(scores)
-        return max(scores, default=0.0), math.log1p(total), math.log1p(len(scores)), min(total / math.sqrt(1 + len(low) / 100), 20.0)
+        return min(1.0, max(scores, default=0.0)), math.log1p(total), math.log1p(len(scores)), min(total / math.sqrt(1 + len(low) / 100), 20.0)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -> np.ndarray:
     """Newton steps for a logistic model with intercept; without rows of both classes, the rate alone."""
     x = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, 5))
     w = np.zeros(x.shape[1])
@@ -166,10 +180,22 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     chosen = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
     tune(docs.sparkSession)
     rows = docs_of(docs).join(F.broadcast(chosen), "doc_id")  # at most train_rows pairs of numbers
-    words = rows.groupBy(F.md5("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("word"))
-    counted = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where((F.col("pos") >= LEAST_DOCS) & (F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg"))))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
+    # near copies mostly share their long word of least hash, so that a copied document does not teach its own words
+    trace = F.array_min(F.transform(F.filter("found", lambda w: F.length(w) >= 9), lambda w: F.xxhash64(w)))
+    longer = lambda n: lambda w: F.length(w) > n
+    start = lambda n: lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))
+    texts = rows.withColumn("found", found).withColumn("trace", F.coalesce(trace, F.xxhash64("text")))
+    words = texts.select("toxic", "trace", F.explode(F.array_distinct(F.concat("found", *[F.transform(F.filter("found", longer(n)), start(n)) for n in STEMS]))).alias("word")).groupBy("word", "trace").agg(F.max("toxic").alias("toxic"))
+    toxic = texts.where("toxic = 1").agg(F.count_distinct("trace").alias("n")).first()["n"]
+    counted = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where((F.col("pos") >= max(LEAST_DOCS, LEAST_OF_TOXIC * toxic)) & (F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg"))))
     top = counted.orderBy(F.desc("pos"), "word").limit(MOST_WORDS).collect()
     learned = {r["word"]: min(1.5, 0.5 + 0.2 * math.log((r["pos"] + 0.5) / (r["neg"] + 0.5))) for r in top if r["word"] not in TARGETS + NEGATIONS + REPORTS}
+    pos = {r["word"]: r["pos"] for r in top}
+    for w in [w for w in learned if w.endswith("*")]:  # a beginning that one word makes up is that word
+        if pos[w] < 1.25 * max((n for v, n in pos.items() if v.startswith(w[:-1]) and v != w and not v.endswith("*")), default=0):
+            del learned[w]
+    learned = {w: v for w, v in learned.items() if not any(len(w) > n and f"{w[:n]}*" in learned and w != f"{w[:n]}*" for n in STEMS)}  # what a shorter beginning covers goes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(learned)
