@@ -137,12 +137,18 @@ class Scorer:
         return min(1.0, max(scores, default=0.0)), math.log1p(total), math.log1p(len(scores)), min(total / math.sqrt(1 + len(low) / 100), 20.0)
 
 
+#: Weights where nothing is labelled: one plain insult is just enough.
+UNFITTED = (-3.0, 2.0, 1.0, 0.5, 0.2)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Newton steps for a logistic model with intercept; without rows of both classes, the rate alone."""
-    x = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, 5))
+    """Newton steps for a logistic model with intercept; with rows of one class the rate alone, without rows UNFITTED."""
+    if len(y) == 0:
+        return np.array(UNFITTED)
+    x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
-    if len(y) == 0 or y.min() == y.max():
-        w[0] = 0.0 if len(y) == 0 else math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    if y.min() == y.max():
+        w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         return w
     penalty = np.diag([0.0] + [l2 * len(y)] * (x.shape[1] - 1)) + 1e-9 * np.eye(x.shape[1])
     for _ in range(rounds):
@@ -174,7 +180,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn words and weights from at most ``train_rows`` labelled documents.
 
-    Rows with null labels or doc_id are left out. Equal texts count once for
+    Rows with null labels or doc_id are left out; without any labelled row the weights are UNFITTED. Equal texts count once for
     words, so a text that was copied often does not teach its own words.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)

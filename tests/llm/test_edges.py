@@ -300,6 +300,21 @@ def test_grammar_composes():
     assert s.clause("i will kill you") > s.clause("i will kill time") and s.features("kind words only") == (0.0, 0.0, 0.0, 0.0)
 
 
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "that idiot spoke"), (2, "kind words")], SCHEMA)
+    fitted = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert (fitted.scores(["that idiot spoke", "kind words", ""]) >= 0.5).tolist() == [True, False, False]
+
+
+def test_words_are_learned_from_labels(spark):
+    rng = random.Random(2)
+    texts = [(i, " ".join(["".join(rng.choice("abcdefgh") for _ in range(10)) for _ in range(20)] + (["zurbel" + rng.choice(["en", "st", "t"])] if i % 3 == 0 else []))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    fitted = toxicity.fit(spark.createDataFrame(texts, SCHEMA), labels)
+    assert any(w.startswith("zurbe") for w in fitted.learned)
+    assert (fitted.scores(["so zurbelt he", "so gentle he"]) >= 0.5).tolist() == [True, False]
+
+
 def test_ring_moves_little():
     counts = {c: 5 for c in range(0, sharding.CELLS, 3)}
     place = lambda n: {(c, k): s for c, lo, hi, s, _ in sharding.walk(counts, n) for k in range(lo, hi + 1)}
