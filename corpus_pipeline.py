@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from auditloom.llm import bpe, decontaminate, neardup, secrets, toxicity
 from auditloom.llm.common import materialize, read
