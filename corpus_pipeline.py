@@ -15,7 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least doc_id of each group of near copies; a null doc_id is kept where its group has no other."""
+    """The row of least doc_id of each group of near copies; rows without doc_id stay."""
     return neardup.one_of_each(docs)
 
 
