@@ -224,7 +224,7 @@ def _spanning(table: pa.Table, similarity: int) -> pa.Table:
 
 
 def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_groups`` keeps; of rows that repeat a doc_id, all or none."""
+    """The rows of ``docs``, all columns, that ``near_groups`` keeps; of rows that repeat a doc_id, all or none; rows without doc_id stay."""
     groups = near_groups(docs, similarity).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(groups, docs["doc_id"].cast("long") == groups["gone"], "left_anti")
 

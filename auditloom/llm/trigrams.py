@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 from re import _constants as c
 from re import _parser as parser
 
@@ -86,11 +85,3 @@ def satisfied(text: str, query: list[frozenset[str]]) -> bool:
     """Whether a text may match: the plain reading of the index, for tests."""
     low = text.lower()
     return not query or any(all(g in low for g in branch) for branch in query)
-
-
-def compiles(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
