@@ -34,7 +34,7 @@ from auditloom.llm.common import block_count, byte_view, crc_mod, docs_of, mater
 from auditloom.llm.textbytes import lowered, words
 
 DEPTH = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 20 << 20
 #: Text that is worked on at once within a block.
 PART_BYTES = 4 << 20
 #: Buckets of contexts for each bucket of strings: a tree takes more memory than the counts it is made of.
