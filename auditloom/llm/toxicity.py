@@ -13,20 +13,22 @@ rewrites tags and adds weight:
 A clause's score is the weight of its path times its strongest word's weight;
 matched clauses make the features of a document, and a logistic model of the
 features gives its score. Words that mark labelled toxic texts join the insults
-listed here, with their log-odds as weight.
+listed here, with their log-odds as weight: those that mark by being there, and
+those that clean texts hold too but toxic ones repeat.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import crc_mod, docs_of, keep_rows, map_texts, read, tune
@@ -40,11 +42,14 @@ REPORTS = ("said", "says", "say", "wrote", "claimed", "reported", "quoted", "cal
 
 #: Labelled rows the model learns from at most: those of smallest hash.
 TRAIN_ROWS = 20_000
-#: Learned words: toxic documents they must be in (a number, and a share of all toxic ones), the share of
-#: their documents that must be toxic, and how many are kept. Copies of one document count once.
+#: Learned words: the log-odds of toxic documents among theirs, the log-likelihood ratio that their share of
+#: toxic ones must have over the share of all documents (so the count they need follows the labels), the share
+#: of all toxic documents they must be in, and how many of a kind are kept. Copies of one document count once.
 #: Beginnings of words of these lengths are learned too, as ``beginning*``: inflected insults share one.
 STEMS = (5, 6, 7)
-LEAST_DOCS, LEAST_OF_TOXIC, LEAST_SHARE, MOST_WORDS = 8, 0.004, 0.9, 400
+LEAST_ODDS, LEAST_EVIDENCE, LEAST_OF_TOXIC, MOST_WORDS = 2.0, 12.0, 0.004, 400
+#: ``word+`` and ``beginning*+`` mark documents that repeat them: twice, and once for so many words.
+TWICE, PER_WORDS = 2, 400
 
 NEGATED_WORDS = 3
 
@@ -100,25 +105,44 @@ class Scorer:
     """Finds the clauses that hold a marked word and runs the machine over them."""
 
     def __init__(self, learned: dict[str, float]):
+        self.repeated = {w[:-1]: v for w, v in learned.items() if w.endswith("+")}
+        learned = {w: v for w, v in learned.items() if not w.endswith("+")}
         self.weight = dict.fromkeys(INSULTS, 1.0) | dict.fromkeys(THREATS, 0.7) | learned
         self.tag = dict.fromkeys(TARGETS, "G") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R") | dict.fromkeys(learned, "I") | dict.fromkeys(THREATS, "T") | dict.fromkeys(INSULTS, "I")
         self.stems = {w[:-1]: v for w, v in learned.items() if w.endswith("*")}
         known = [re.escape(w) for w in sorted(self.weight) if not w.endswith("*")] + [re.escape(w) + r"[^\W\d_]+" for w in sorted(self.stems)]
-        self.marked = re.compile(r"(?<![^\W\d_])(?:" + "|".join(known) + r")(?![^\W\d_])")
-
-    def read(self, word: str) -> tuple[str, float]:
+        often = [re.escape(w) for w in sorted(self.repeated) if not w.endswith("*")] + [re.escape(w[:-1]) + r"[^\W\d_]+" for w in sorted(self.repeated) if w.endswith("*")]
+        expression = lambda words: re.compile(r"(?<![^\W\d_])(?:" + "|".join(words) + r")(?![^\W\d_])")
+        self.marked, self.often, self.either = expression(known), expression(often), expression(known + often)
+
+    def repeats(self, low: str) -> frozenset[str]:
+        """The marks that count only when repeated and that this text repeats."""
+        if not self.repeated:
+            return frozenset()
+        hits: Counter[str] = Counter()
+        for m in self.often.finditer(low):
+            hits.update(w for w in (m[0], *(m[0][:n] + "*" for n in STEMS if len(m[0]) > n)) if w in self.repeated)
+        if max(hits.values(), default=0) < TWICE:
+            return frozenset()
+        least = max(TWICE, math.ceil(sum(len(w) >= 3 for w in WORD.findall(low)) / PER_WORDS))
+        return frozenset(w for w, n in hits.items() if n >= least)
+
+    def read(self, word: str, repeated: frozenset[str] = frozenset()) -> tuple[str, float]:
         """Tag and weight of a word, by itself or by how it begins."""
         if word in self.tag:
             return self.tag[word], self.weight.get(word, 0.5)
         for n in STEMS:
             if len(word) > n and word[:n] in self.stems:
                 return "I", self.stems[word[:n]]
+        for w in (word, *(word[:n] + "*" for n in STEMS if len(word) > n)) if repeated else ():
+            if w in repeated:
+                return "I", self.repeated[w]
         return "w", 0.5
 
-    def clause(self, text: str) -> float:
+    def clause(self, text: str, repeated: frozenset[str] = frozenset()) -> float:
         state, total, strongest = 0, 0.0, 0.0
         for m in WORD.finditer(text):
-            tag, weight = self.read(m[0])
+            tag, weight = self.read(m[0], repeated)
             _, w, state = MACHINE.step(state, tag)
             if w:
                 total += w
@@ -127,12 +151,17 @@ class Scorer:
 
     def features(self, text: str) -> tuple[float, float, float, float]:
         """Best clause (up to one plain insult), log of all clauses, matched clauses (log), and score per root of length."""
-        low, at, scores = text.lower(), 0, []
-        while m := self.marked.search(low, at):
-            start = max(low.rfind(c, 0, m.start()) for c in ".!?;\n") + 1
+        low, at, done, scores = text.lower(), 0, 0, []
+        repeated = self.repeats(low)
+        marked = self.either if repeated else self.marked
+        while m := marked.search(low, at):
+            if repeated and self.read(m[0], repeated)[0] not in "IT":
+                at = m.end()
+                continue
+            start = max(low.rfind(c, done, m.start()) for c in ".!?;\n") + 1
             end = e.start() if (e := CLAUSE_END.search(low, m.end())) else len(low)
-            scores.append(self.clause(low[max(start, at) : end]))
-            at = end
+            scores.append(self.clause(low[max(start, done) : end], repeated))
+            at = done = end
         total = sum(scores)
         return min(1.0, max(scores, default=0.0)), math.log1p(total), math.log1p(len(scores)), min(total / math.sqrt(1 + len(low) / 100), 20.0)
 
@@ -177,6 +206,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
 
 
+def _covered(word: str, learned: dict[str, float]) -> bool:
+    """Whether a word or beginning is learned, or a shorter beginning of it."""
+    return word in learned or any(len(word.rstrip("*")) > n and f"{word[:n]}*" in learned for n in STEMS)
+
+
+def _pruned(learned: dict[str, float], pos: dict[str, int]) -> dict[str, float]:
+    """Without beginnings that one word makes up, and without what a shorter beginning covers."""
+    one = lambda w: pos[w] < 1.25 * max((n for v, n in pos.items() if v.startswith(w[:-1]) and v != w and v[-1] not in "*+"), default=0)
+    kept = {w: v for w, v in learned.items() if not (w.endswith("*") and one(w))}
+    return {w: v for w, v in kept.items() if not _covered(w, {k: x for k, x in kept.items() if k != w})}
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn words and weights from at most ``train_rows`` labelled documents.
 
@@ -186,22 +227,31 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     chosen = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
     tune(docs.sparkSession)
     rows = docs_of(docs).join(F.broadcast(chosen), "doc_id")  # at most train_rows pairs of numbers
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0))
     # near copies mostly share their long word of least hash, so that a copied document does not teach its own words
     trace = F.array_min(F.transform(F.filter("found", lambda w: F.length(w) >= 9), lambda w: F.xxhash64(w)))
     longer = lambda n: lambda w: F.length(w) > n
     start = lambda n: lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))
     texts = rows.withColumn("found", found).withColumn("trace", F.coalesce(trace, F.xxhash64("text")))
-    words = texts.select("toxic", "trace", F.explode(F.array_distinct(F.concat("found", *[F.transform(F.filter("found", longer(n)), start(n)) for n in STEMS]))).alias("word")).groupBy("word", "trace").agg(F.max("toxic").alias("toxic"))
-    toxic = texts.where("toxic = 1").agg(F.count_distinct("trace").alias("n")).first()["n"]
-    counted = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where((F.col("pos") >= max(LEAST_DOCS, LEAST_OF_TOXIC * toxic)) & (F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg"))))
-    top = counted.orderBy(F.desc("pos"), "word").limit(MOST_WORDS).collect()
-    learned = {r["word"]: min(1.5, 0.5 + 0.2 * math.log((r["pos"] + 0.5) / (r["neg"] + 0.5))) for r in top if r["word"] not in TARGETS + NEGATIONS + REPORTS}
+    texts = texts.withColumn("marks", F.array_sort(F.concat("found", *[F.transform(F.filter("found", longer(n)), start(n)) for n in STEMS])))
+    least = F.greatest(F.lit(TWICE), F.ceil(F.size("found") / PER_WORDS).cast("int"))
+    texts = texts.withColumn("least", least).withColumn("runs", F.greatest(F.size("marks") - F.col("least") + 1, F.lit(0)))
+    # sorted: what is there again so many places on is there so many times
+    again = F.filter(F.zip_with(F.slice("marks", F.lit(1), F.col("runs")), F.slice("marks", F.col("least"), F.col("runs")), lambda a, b: F.when(a == b, F.concat(a, F.lit("+")))), lambda w: w.isNotNull())
+    words = texts.select("toxic", "trace", F.explode(F.array_distinct(F.concat("marks", again))).alias("word")).groupBy("word", "trace").agg(F.max("toxic").alias("toxic"))
+    traces = texts.groupBy("trace").agg(F.max("toxic").alias("toxic")).agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
+    toxic, rate = traces["toxic"] or 0, ((traces["toxic"] or 0) + 0.5) / (traces["n"] + 1)
+    share = F.col("pos") / (F.col("pos") + F.col("neg"))
+    evidence = F.col("pos") * F.log(share / rate) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    odds = F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5))
+    counted = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where((F.col("pos") >= LEAST_OF_TOXIC * toxic) & (F.col("pos") > 0)).where((odds >= LEAST_ODDS) & (share > rate) & (evidence >= LEAST_EVIDENCE))
+    kind = Window.partitionBy(F.endswith("word", F.lit("+"))).orderBy(F.desc("pos"), "word")  # the few that are left
+    top = counted.withColumn("place", F.row_number().over(kind)).where(F.col("place") <= MOST_WORDS).collect()
+    value = {r["word"]: min(1.5, 0.5 + 0.2 * math.log((r["pos"] + 0.5) / (r["neg"] + 0.5))) for r in top if r["word"].rstrip("+") not in TARGETS + NEGATIONS + REPORTS}
     pos = {r["word"]: r["pos"] for r in top}
-    for w in [w for w in learned if w.endswith("*")]:  # a beginning that one word makes up is that word
-        if pos[w] < 1.25 * max((n for v, n in pos.items() if v.startswith(w[:-1]) and v != w and not v.endswith("*")), default=0):
-            del learned[w]
-    learned = {w: v for w, v in learned.items() if not any(len(w) > n and f"{w[:n]}*" in learned and w != f"{w[:n]}*" for n in STEMS)}  # what a shorter beginning covers goes
+    there = _pruned({w: v for w, v in value.items() if not w.endswith("+")}, pos)
+    repeated = _pruned({w[:-1]: v for w, v in value.items() if w.endswith("+") and not _covered(w[:-1], there)}, {w[:-1]: n for w, n in pos.items() if w.endswith("+")})
+    learned = there | {f"{w}+": v for w, v in repeated.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(learned)
