@@ -33,7 +33,7 @@ from auditloom.llm import blocks as bl
 from auditloom.llm.common import block_count, byte_view, crc_mod, docs_of, materialize, mix64, read, tune
 from auditloom.llm.textbytes import lowered, words
 
-DEPTH = 5
+DEPTH = 6
 BLOCK_BYTES = 20 << 20
 #: Text that is worked on at once within a block.
 PART_BYTES = 4 << 20
@@ -185,18 +185,20 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _looked_up(every: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Values of keys of 48 bits at most, all of them in sorted ``every``.
+    """Values of keys of 56 bits at most, all of them in sorted ``every``.
 
-    Runs of 2**16 keys are sorted with their places in the low bits, since lookups
-    in order stay in cache and a plain sort is far cheaper than one of indexes.
+    Runs of 2**16 keys are sorted by their upper bits, with their places in the low
+    16, since lookups nearly in order stay in cache and a plain sort is far cheaper
+    than one of indexes.
     """
     out = np.empty(len(keys), values.dtype)
     places = np.arange(1 << 16, dtype=np.uint64)
     for a in range(0, len(keys), 1 << 16):
         part = keys[a : a + (1 << 16)]
-        marked = (part << np.uint64(16)) | places[: len(part)]
+        marked = ((part >> np.uint64(8)) << np.uint64(16)) | places[: len(part)]
         marked.sort()
-        out[a : a + len(part)][(marked & np.uint64(0xFFFF)).astype(np.int64)] = values[np.searchsorted(every, marked >> np.uint64(16))]
+        order = (marked & np.uint64(0xFFFF)).astype(np.int64)
+        out[a : a + len(part)][order] = values[np.searchsorted(every, part[order])]
     return out
 
 

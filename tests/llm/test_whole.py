@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from auditloom.llm import toxicity
+import numpy as np
+
+from auditloom.llm import ctw, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -25,3 +27,18 @@ def test_repeats_go_with_length():
     assert s.repeats("zurbela und zurbelo") == {"zurbe*"} and s.repeats("zurbela und") == frozenset()
     assert s.repeats("zurbela und zurbelo " + "wort " * 1000) == frozenset()
     assert s.features("ein zurbela. der zurbelo.")[0] == 1.0 and s.features("ein zurbela.") == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_contexts_of_six_bytes_are_learned(spark):
+    """What follows five bytes in common is told apart by the sixth."""
+    docs = spark.createDataFrame([(i, ("xabcdey" if i % 2 else "zabcdew") * 40, True) for i in range(8)] + [(8, "xabcdey" * 40, False), (9, "xabcdew" * 40, False)], "doc_id long, text string, train boolean")
+    at = lambda depth: {r["doc_id"]: r["score"] for r in ctw.scored(docs, **depth).collect()}
+    six, five = at({}), at({"depth": 5})
+    assert six == at({"depth": 6}) and six[8] > five[8] + 5
+
+
+def test_lookups_of_wide_keys():
+    rng = np.random.default_rng(1)
+    every = np.unique(rng.integers(0, 1 << 56, 100_000).astype(np.uint64))
+    asked = rng.permutation(np.r_[every, every])
+    assert (ctw._looked_up(every, np.arange(len(every)), asked) == np.searchsorted(every, asked)).all()
