@@ -244,11 +244,16 @@ def wide_guard(spark, sf):
     return profile.wide_guard(sizes)
 
 
-@query("external_audit", "arm:s target_auc:d blind_auc:d gap:d draws:l")
+@query("external_audit", "arm:s scheme:s target_auc:d blind_auc:d gap:d draws:l")
 def external_audit(spark, sf):
     pool = fx.pool(spark, sf)
-    every = [f"base_{n}" for n in ("accuracy", "max_confidence", "correct_confidence", "entropy", "loss", "prediction_margin")]
-    return audit.evaluate(audit.external(pool, {"ALL": every}, draws=5, screened=False, trees=100))
+    kinds = pool.select("signal", "family").distinct()
+    named = kinds.orderBy("signal").collect()  # one row per signal
+    arms = {r["arm"]: [n["signal"] for n in named if r["arm"] in ("ALL", n["family"])] for r in signals.arms(kinds).collect()}
+    schemes = {"noscreen": False, "screen": True}
+    parts = [audit.evaluate(audit.external(pool, arms, screened=on)).withColumn("scheme", F.lit(name)) for name, on in schemes.items()]
+    cells = spark.createDataFrame([(a, s) for a in arms for s in schemes], "arm string, scheme string")
+    return cells.join(parts[0].unionByName(parts[1]), ["arm", "scheme"], "left").fillna(0, ["draws"])  # no draw may survive the screen
 
 
 @query("internal_audit", "scope:s kind:s n_cols:l k_star:l target:d blind:d gap:d")
