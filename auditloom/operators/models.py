@@ -71,7 +71,7 @@ def loo_table(df: DataFrame, keys: Sequence[str], row: str, label: str, names: S
     return df.select(*keys, row, label, *names).groupBy(*keys).applyInPandas(one, schema)
 
 
-def combos(df: DataFrame, row: str, label: str, names: Sequence[str], most: int = 3) -> DataFrame:
+def combos(df: DataFrame, row: str, label: str, names: Sequence[str], most: int = 5) -> DataFrame:
     """AUC of leave-one-out logistic regression for every combination of up to ``most`` columns.
 
     The table of datasets is small by nature (one row per dataset, the listed

@@ -267,9 +267,9 @@ def contributions(spark, sf):
     return audit.contributions(fx.pool(spark, sf))
 
 
-def pool_wide(spark, sf):
+def pool_wide(spark, sf, *more):
     pool = fx.pool(spark, sf)
-    cols = ["base_accuracy", "base_max_confidence", "base_correct_confidence", "base_entropy"]
+    cols = ["base_accuracy", "base_max_confidence", "base_correct_confidence", "base_entropy", *more]
     return signals.wide(pool.select("dataset_id", "y", "signal", F.col("xt").alias("value")), cols, ("dataset_id", "y")), cols
 
 
@@ -281,7 +281,7 @@ def loo_logistic(spark, sf):
 
 @query("combo_search", "k:l combo:s auc:d place:l")
 def combo_search(spark, sf):
-    wide, cols = pool_wide(spark, sf)
+    wide, cols = pool_wide(spark, sf, "base_loss", "base_prediction_margin")
     return models.top_of(models.combos(wide, "dataset_id", "y", cols), ["k"], "auc", 5, "combo")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.operators import audit
+from auditloom.operators import audit, models
 from auditloom.queries import audits
 
 
@@ -14,3 +14,13 @@ def test_external_audit_runs_all_draws_arms_and_schemes(spark, sf, monkeypatch):
     assert set(got) == {(a, s) for a in ("ALL", "base") for s in ("noscreen", "screen")}
     assert got["ALL", "noscreen"]["draws"] == 10 and all(r["draws"] <= 10 for r in got.values())
     assert [m for _, m in asked] == [{"screened": False}, {"screened": True}] and all(len(n) == 6 for arms, _ in asked for n in arms.values())
+
+
+def test_combo_search_tries_five_of_six_columns(spark, sf, monkeypatch):
+    tried = []
+    combos = models.combos
+    monkeypatch.setattr(models, "combos", lambda *a, **more: tried.append(combos(*a, **more)) or tried[-1])
+    got = audits.combo_search(spark, sf).collect()
+    assert {k: sum(r["k"] == k for r in got) for k in range(1, 7)} == {1: 5, 2: 5, 3: 5, 4: 5, 5: 5, 6: 0}
+    every = [r["combo"] for r in tried[0].collect()]
+    assert len(set(every)) == len(every) == 6 + 15 + 20 + 15 + 6 and any("base_loss" in c for c in every) and any("base_prediction_margin" in c for c in every)
