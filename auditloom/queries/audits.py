@@ -259,7 +259,7 @@ def external_audit(spark, sf):
 @query("internal_audit", "scope:s kind:s n_cols:l k_star:l target:d blind:d gap:d")
 def internal_audit(spark, sf):
     every = [f"base_{n}" for n in ("accuracy", "max_confidence", "correct_confidence", "entropy", "loss", "prediction_margin")]
-    return audit.internal(fx.pool(spark, sf), {"ALL": every}, ("lr", "trees"), replicates=200)
+    return audit.internal(fx.pool(spark, sf), {"ALL": every}, ("lr", "trees"))
 
 
 @query("contributions", "signal:s target_importance:d blind_importance:d target_rank:l blind_rank:l")
@@ -290,7 +290,7 @@ def paired_bootstrap(spark, sf):
     from auditloom.operators import split
 
     pool = fx.pool(spark, sf).where("signal = 'base_accuracy'")
-    return split.bootstrap(pool.select(F.lit(1).alias("g"), F.col("dataset_id").alias("row_id"), "y", F.col("xt").alias("target"), F.col("xb").alias("blind")), ["g"], 500)
+    return split.bootstrap(pool.select(F.lit(1).alias("g"), F.col("dataset_id").alias("row_id"), "y", F.col("xt").alias("target"), F.col("xb").alias("blind")), ["g"], 2000)
 
 
 @query("transfer_eval", "dataset_id:l score:d")

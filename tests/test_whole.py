@@ -24,3 +24,19 @@ def test_combo_search_tries_five_of_six_columns(spark, sf, monkeypatch):
     assert {k: sum(r["k"] == k for r in got) for k in range(1, 7)} == {1: 5, 2: 5, 3: 5, 4: 5, 5: 5, 6: 0}
     every = [r["combo"] for r in tried[0].collect()]
     assert len(set(every)) == len(every) == 6 + 15 + 20 + 15 + 6 and any("base_loss" in c for c in every) and any("base_prediction_margin" in c for c in every)
+
+
+def test_bootstraps_take_2000_replicates(spark, sf, monkeypatch):
+    import inspect
+
+    from auditloom.operators import split
+
+    asked = []
+    internal, bootstrap = audit.internal, split.bootstrap
+    monkeypatch.setattr(audit, "internal", lambda *a, **more: asked.append(inspect.signature(internal).bind(*a, **more)) or internal(*a, **more))
+    monkeypatch.setattr(split, "bootstrap", lambda *a, **more: asked.append(inspect.signature(bootstrap).bind(*a, **more)) or bootstrap(*a, **more))
+    audits.internal_audit(spark, sf)
+    used = audits.paired_bootstrap(spark, sf).first()["used"]
+    for call in asked:
+        call.apply_defaults()
+    assert [call.arguments["replicates"] for call in asked] == [2000, 2000] and 500 < used <= 2000
