@@ -23,8 +23,8 @@ from auditloom.llm.common import docs_of, keep_rows, read, tune
 
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.07
-#: Shorter items (after normalisation) would match by chance and are searched without edits, the shortest not at all.
-LEAST_CHARS, LEAST_EXACT = 40, 12
+#: Shorter items (after normalisation) are searched between word boundaries, since within words they would match by chance.
+LEAST_WITHIN = 12
 BLOCK_BYTES = 4 << 20
 
 
@@ -34,7 +34,13 @@ def normal(text: str) -> str:
 
 
 def budget(item: str, rate: float = ERROR_RATE) -> int:
-    return int(len(item) * rate) if len(item) >= LEAST_CHARS else 0
+    return int(len(item) * rate) if len(item) >= LEAST_WITHIN else 0
+
+
+def between_words(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] neither begins nor ends within a word."""
+    inside = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return not inside(a) and not inside(b)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -91,7 +97,7 @@ class Matcher:
         self.patterns: list[tuple[int, Pattern, int]] = []
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            if len(text) < LEAST_EXACT:
+            if not text:
                 continue
             k = budget(text, rate)
             for offset, piece in pieces(text, k):
@@ -124,6 +130,8 @@ class Matcher:
                     j += 1
                 a, b = max(0, begins[i] - k), min(len(text), begins[j] + m + k)
                 hit = (0, begins[i] + m - a) if text.startswith(pattern.text, max(0, begins[i])) and begins[i] >= 0 else pattern.best(text[a:b], k)
+                if hit and m < LEAST_WITHIN and not between_words(text, a + hit[1] - m, a + hit[1]):  # without edits
+                    hit = None
                 if hit and (best is None or hit[0] < best[0]):
                     best = (hit[0], a + hit[1])
                 i = j + 1

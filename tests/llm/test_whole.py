@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from auditloom.llm import ctw, toxicity
+from auditloom.llm import ctw, decontaminate, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -42,3 +42,12 @@ def test_lookups_of_wide_keys():
     every = np.unique(rng.integers(0, 1 << 56, 100_000).astype(np.uint64))
     asked = rng.permutation(np.r_[every, every])
     assert (ctw._looked_up(every, np.arange(len(every)), asked) == np.searchsorted(every, asked)).all()
+
+
+def test_short_items_are_found():
+    m = decontaminate.Matcher([(1, "oslo"), (2, "who wrote the iliad"), (3, "c++"), (4, "")])
+    found = lambda t: [(r[0], r[1], r[2], r[3]) for r in sorted(m.find(t))]
+    assert found("in oslo.") == [(1, 3, 7, 0)] and found("oslo") == [(1, 0, 4, 0)] and found("use c++ now") == [(3, 4, 7, 0)]
+    assert found("oslos") == found("xoslo is oslo2") == found("") == []
+    assert found("xoslo, oslo") == [(1, 7, 11, 0)]
+    assert [r[::3] for r in found("say who wrote teh iliad")] == [] and [r[::3] for r in found("say who wrote th iliad")] == [(2, 1)]
