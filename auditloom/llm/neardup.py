@@ -29,8 +29,8 @@ from auditloom.llm.common import byte_view, docs_of, materialize, mix64, read, t
 from auditloom.llm.textbytes import lowered, shingles, words
 
 WORDS = 5
-#: A pair at the threshold misses all buckets with a probability of (1 - 0.75**ROWS)**BANDS, 2e-5.
-BANDS, ROWS = 40, 5
+#: A pair at the threshold misses all buckets with a probability of (1 - 0.75**ROWS)**BANDS, 6e-9.
+BANDS, ROWS = 50, 4
 BINS = BANDS * ROWS
 SIMILARITY = 75  # per cent
 #: Ids that are broadcast at most (8 bytes each); beyond that the join shuffles.

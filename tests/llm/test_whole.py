@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from auditloom.llm import ctw, decontaminate, toxicity
+from auditloom.llm import ctw, decontaminate, neardup, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -51,3 +51,7 @@ def test_short_items_are_found():
     assert found("oslos") == found("xoslo is oslo2") == found("") == []
     assert found("xoslo, oslo") == [(1, 7, 11, 0)]
     assert [r[::3] for r in found("say who wrote teh iliad")] == [] and [r[::3] for r in found("say who wrote th iliad")] == [(2, 1)]
+
+
+def test_banding_finds_pairs_at_the_threshold():
+    assert (1 - 0.75**neardup.ROWS) ** neardup.BANDS < 5e-6 and neardup.BANDS * neardup.ROWS == neardup.BINS
