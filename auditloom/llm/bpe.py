@@ -21,21 +21,25 @@ import base64
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import map_texts, read
+from auditloom.llm.common import byte_view, map_texts, read
 
 #: Bytes of the tree's leaves, which are merged directly. Few enough that leaves repeat often.
 LEAF = 8
 #: Stretches of at most so many bytes whose direct encodings are kept.
 KEPT_BYTES = 16
-#: Encodings (of pieces, of stretches) and stable pairs that a worker keeps of each; beyond that it starts anew.
-CACHE = 200_000
+#: Encodings of pieces that a worker process keeps, in each of two generations (some 300 bytes each), and
+#: encodings of stretches and stable pairs.
+CACHE_PIECES, CACHE = 500_000, 200_000
+#: Pieces of at most so many characters are kept.
+KEPT_PIECE = 64
 
 
 def narrow(pattern: str):
@@ -68,6 +72,25 @@ def narrow(pattern: str):
         return None
 
 
+class Recent:
+    """A bounded mapping of what was used lately: two generations, of which the older goes when the
+    younger is full and what is asked for in the older moves to the younger. None is no value."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self[key] = value
+        return value
+
+    def __setitem__(self, key, value):
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Vocabulary:
     """Ranks of byte strings and the operations on sequences of them."""
 
@@ -78,8 +101,9 @@ class Vocabulary:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self._split = regex.compile(pattern).findall
         self._split_narrow = narrow(pattern)
-        self._stable: dict[tuple[int, int], bool] = {}
-        self._merged: dict[bytes, list[int]] = {}
+        self._none = max(ranks.values(), default=0) + 1  # ranks after all others: no merge
+        self._stable: Recent = Recent(CACHE)
+        self._merged: Recent = Recent(CACHE)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -96,44 +120,38 @@ class Vocabulary:
                 pass
         return self._split(text)
 
-    def merge(self, data: bytes) -> list[int]:
+    def merge(self, data: bytes) -> tuple[int, ...]:
         """Direct merging: the lowest rank first, the leftmost of equals."""
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        pairs = [ranks.get(parts[i] + parts[i + 1]) for i in range(len(parts) - 1)]
-        while True:
-            best = at = None
-            for i, r in enumerate(pairs):
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if at is None:
-                return [ranks[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        rank, none = self.ranks.get, self._none
+        parts = [data[i : i + 1] for i in range(len(data))]
+        pairs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (lowest := min(pairs)) != none:
+            at = pairs.index(lowest)
+            whole = parts[at] + parts[at + 1]
+            parts[at : at + 2] = [whole]
             del pairs[at]
             if at < len(pairs):
-                pairs[at] = ranks.get(parts[at] + parts[at + 1])
+                pairs[at] = rank(whole + parts[at + 1], none)
             if at:
-                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                pairs[at - 1] = rank(parts[at - 1] + whole, none)
+        return tuple([self.ranks[p] for p in parts])
 
-    def direct(self, data: bytes) -> list[int]:
-        """``merge``, kept for short stretches; the result is shared and must not be changed."""
+    def direct(self, data: bytes) -> tuple[int, ...]:
+        """``merge``, kept for short stretches."""
         known = self._merged.get(data)
         if known is None:
             known = self.merge(data)
             if len(data) <= KEPT_BYTES:
-                if len(self._merged) >= CACHE:
-                    self._merged.clear()
                 self._merged[data] = known
         return known
 
     def stable(self, a: int, b: int) -> bool:
         known = self._stable.get((a, b))
         if known is None:
-            if len(self._stable) > CACHE:
-                self._stable.clear()
-            known = self._stable[a, b] = self.direct(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self._stable[a, b] = self.direct(self.bytes_of[a] + self.bytes_of[b]) == (a, b)
         return known
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of both."""
         if not left or not right or self.stable(left[-1], right[0]):
             return left + right
@@ -151,17 +169,17 @@ class Vocabulary:
                 j = min(len(right), j + step)
             step *= 2
 
-    def reduce(self, data: bytes) -> list[int]:
+    def reduce(self, data: bytes) -> tuple[int, ...]:
         """Leaves of the tree are merged directly, then neighbours join level by level."""
         level = [self.direct(data[i : i + LEAF]) for i in range(0, len(data), LEAF)]
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0] if level else []
+        return level[0] if level else ()
 
-    def encode_piece(self, data: bytes) -> list[int]:
+    def encode_piece(self, data: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(data)
         if whole is not None:
-            return [whole]
+            return (whole,)
         return self.reduce(data)
 
     def encode(self, text: str) -> list[int]:
@@ -170,11 +188,11 @@ class Vocabulary:
             out.extend(self.encode_piece(piece.encode()))
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        level = [self.bytes_of[i] for i in ids]
-        while len(level) > 1:
+    def decode(self, ids: Sequence[int]) -> bytes:
+        level = list(map(self.bytes_of.__getitem__, ids))
+        while len(level) > 64:
             level = [b"".join(level[i : i + 64]) for i in range(0, len(level), 64)]
-        return level[0] if level else b""
+        return b"".join(level)
 
 
 @lru_cache(maxsize=2)
@@ -206,33 +224,53 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 class Digester:
-    """Counts and hashes of the ids of texts and of what they decode to; pieces met before are not encoded again."""
+    """Counts and hashes of the ids of texts and of what they decode to.
+
+    The pieces of some texts become a dictionary array; each distinct one is encoded once, or not at all where
+    it was met lately. What the texts' pieces give is then laid end to end, and each text is a slice of that.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.known: dict[str, tuple[int, str, bytes]] = {}  # a piece's encoding, and the decoding of its ids
+        self.known = Recent(CACHE_PIECES)
+        self.written = {i: f"{i}," for i in vocab.bytes_of}
 
     def piece(self, piece: str) -> tuple[int, str, bytes]:
-        ids = self.vocab.encode_piece(piece.encode())
-        got = (len(ids), ",".join(map(str, ids)), self.vocab.decode(ids))
-        if len(piece) <= 64:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[piece] = got
+        """Number of ids, the ids written with a comma after each, and the bytes that they decode to."""
+        got = self.known.get(piece)
+        if got is None:
+            ids = self.vocab.encode_piece(piece.encode())
+            got = len(ids), "".join(map(self.written.__getitem__, ids)), self.vocab.decode(ids)
+            if len(piece) <= KEPT_PIECE:
+                self.known[piece] = got
         return got
 
-    def text(self, text: str) -> tuple[int, str, str]:
-        known, piece = self.known, self.piece
-        n, ids, data = zip(*[known.get(p) or piece(p) for p in self.vocab.split(text)], strict=True) if text else ((), (), ())
-        return sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
-
     def __call__(self, texts: list[str]):
-        return list(zip(*map(self.text, texts), strict=True))
+        pieces, ends = [], []
+        for text in texts:
+            pieces += self.vocab.split(text)
+            ends.append(len(pieces))
+        coded, lately = pa.array(pieces, pa.string()).dictionary_encode(), self.known.young.get
+        n, ids, data = zip(*[lately(p) or self.piece(p) for p in coded.dictionary.to_pylist()], strict=True) if pieces else ((), (), ())
+        at = np.array([0, *ends])
+        total = np.r_[0, np.cumsum(np.array(n, np.int64)[coded.indices.to_numpy()])][at]
+        written, decoded = (byte_view(pa.array(column, pa.large_binary()).take(coded.indices)) for column in ([i.encode() for i in ids], data))
+        out = []
+        for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            ids_of, bytes_of = (raw[cuts[a] : cuts[b]] for raw, cuts in (written, decoded))
+            out.append((int(total[i + 1] - total[i]), hashlib.sha256(ids_of[:-1]).hexdigest(), hashlib.sha256(bytes_of).hexdigest()))
+        return list(zip(*out, strict=True))
+
+
+@lru_cache(maxsize=2)
+def digester(path: str, pattern: str) -> Digester:
+    """One per worker process, so that tasks find what earlier ones encoded."""
+    return Digester(vocabulary(path, pattern))
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; null and empty texts have no tokens."""
-    return map_texts(docs, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, lambda: Digester(vocabulary(path, pattern)))
+    return map_texts(docs, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, lambda: digester(path, pattern))
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

@@ -13,11 +13,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: bounds a Python worker's batch when texts are long.
+#: Rows of one Arrow batch: bounds what the JVM sends at once when texts are long.
 BATCH_ROWS = 512
+#: Bytes of text that a worker holds at once; a longer text is a part by itself.
+PART_BYTES = 8 << 20
 
 _OWN_SCRATCH: list[str] = []
 
@@ -62,6 +65,27 @@ def crc_mod(column: str, modulus: int):
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, cut and joined to batches of at most ``most`` bytes of ``text``, or one row."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = int(np.searchsorted(ends, before + most - size, side="right"))
+            if end <= at and held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+                continue
+            end = max(end, at + 1)
+            held.append(batch.slice(at, end - at))
+            size += int(ends[end - 1]) - before
+            at = end
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def map_texts(docs: DataFrame, fields: dict[str, str], begin: Callable[[], Callable[[list[str]], Sequence]], types: dict[str, pa.DataType] | None = None) -> DataFrame:
     """``doc_id`` and ``fields`` (name: type) for every row of ``doc_id, text``.
 
@@ -73,8 +97,8 @@ def map_texts(docs: DataFrame, fields: dict[str, str], begin: Callable[[], Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = begin()
-        for batch in batches:
-            columns = work(batch.column("text").to_pylist()) if batch.num_rows else [[] for _ in kinds]
+        for batch in by_bytes(batches):
+            columns = work(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", *fields])
 
     return docs_of(docs).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} {t}" for n, t in fields.items())]))
@@ -86,9 +110,8 @@ def keep_rows(docs: DataFrame, begin: Callable[[], Callable[[list[str]], Sequenc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = begin()
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(work([t or "" for t in batch.column("text").to_pylist()]), pa.bool_()))
+        for batch in by_bytes(batches):
+            yield batch.filter(pa.array(work([t or "" for t in batch.column("text").to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
