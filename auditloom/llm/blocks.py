@@ -31,10 +31,12 @@ Row = tuple[int, int, int, bytes]
 
 
 def squeeze(**columns) -> bytes:
-    """Columns as one compressed binary; ascending integer arrays named ``key`` as differences."""
+    """Columns as one compressed binary. Ascending 64-bit ``key`` goes as differences, byte by byte: the
+    upper bytes of the differences are mostly zero, and the lower ones do not compress."""
     if "key" in columns:
-        key = columns["key"]
-        columns["key"] = np.diff(key, prepend=key.dtype.type(0)) if len(key) else key
+        key = np.ascontiguousarray(columns.pop("key")).view(np.uint64)
+        planes = np.diff(key, prepend=np.uint64(0)) if len(key) else key
+        columns |= {f"key{i}": column for i, column in enumerate(np.ascontiguousarray(planes.view(np.uint8).reshape(-1, 8).T))}
     batch = pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array | pa.ChunkedArray) else pa.array(v) for k, v in columns.items()})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -47,8 +49,10 @@ def expand(data: bytes) -> pa.Table:
 
 
 def numbers(table: pa.Table, name: str) -> np.ndarray:
-    values = table.column(name).to_numpy()
-    return np.cumsum(values, dtype=values.dtype) if name == "key" else values
+    if name != "key":
+        return table.column(name).to_numpy()
+    planes = np.stack([table.column(f"key{i}").to_numpy() for i in range(8)], axis=1)
+    return np.cumsum(planes.view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 def table_of(rows: list[Row]) -> pa.Table:
@@ -79,17 +83,20 @@ def by_hash(blocks: int) -> Callable[[pa.RecordBatch], np.ndarray]:
 
 
 def by_range(edges: list[float]) -> Callable[[pa.RecordBatch], np.ndarray]:
-    """Blocks of consecutive doc_ids."""
+    """Blocks of consecutive doc_ids; rows without one are dealt by ``spread`` over the blocks after them."""
 
     def at(batch: pa.RecordBatch) -> np.ndarray:
-        return np.searchsorted(np.array(edges), batch.column("doc_id").to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+        ids = batch.column("doc_id")
+        place = np.searchsorted(np.array(edges), ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        late = len(edges) + 1 + batch.column("spread").fill_null(0).to_numpy(zero_copy_only=False)
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), late, place).astype(np.int32)
 
     return at
 
 
-def dealt(rows: DataFrame, block_of: Callable[[pa.RecordBatch], np.ndarray], kind: int = TEXT) -> DataFrame:
-    """``rows`` (with doc_id) as packed chunks, each sent to the block of its rows."""
-    names = rows.columns
+def dealt(rows: DataFrame, block_of: Callable[[pa.RecordBatch], np.ndarray], kind: int = TEXT, names: list[str] | None = None) -> DataFrame:
+    """Columns ``names`` (else all) of ``rows`` (with doc_id) as packed chunks, each sent to the block of its rows."""
+    names = names or rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -126,11 +133,14 @@ def at_each(rows: DataFrame, work: Callable[[int, dict[int, list[tuple[int, byte
 
 def scatter(kind: int, origin: int, keys: np.ndarray, bucket_of: np.ndarray, **values: np.ndarray) -> Iterator[Row]:
     """One packed row per bucket of sorted ``keys`` and ``values``, which stay in order within it."""
-    order = np.argsort(bucket_of, kind="stable")
-    ranked = bucket_of[order]
+    if np.all(bucket_of[1:] >= bucket_of[:-1]):
+        order, ranked = None, bucket_of
+    else:
+        order = np.argsort(bucket_of, kind="stable")
+        ranked = bucket_of[order]
     edges = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1], True]) if len(ranked) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        pick = order[a:b]
+        pick = slice(a, b) if order is None else order[a:b]
         yield kind, int(ranked[a]), origin, squeeze(key=keys[pick], **{n: v[pick] for n, v in values.items()})
 
 

@@ -73,22 +73,37 @@ def shingles(prints: np.ndarray, size: int) -> np.ndarray:
     return mix64(total + np.uint64(k))
 
 
-def names16(data: np.ndarray) -> np.ndarray:
-    """A name for the 16 bytes at each place. The name of 8 bytes is the number that they are."""
-    if len(data) < 16:
+_MIX = mix64(np.arange(201, 205, dtype=np.uint64)) | np.uint64(1)
+_HALF = np.uint64(32)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place as a number."""
+    return np.ndarray(max(0, len(data) - 7), "<u8", np.ascontiguousarray(data).data, strides=(1,)) if len(data) > 7 else np.zeros(0, np.uint64)
+
+
+def names32(data: np.ndarray) -> np.ndarray:
+    """A name of 64 bits for the 32 bytes at each place: a filter, since some pairs clash more often than chance."""
+    if len(data) < 32:
         return np.zeros(0, np.uint64)
-    eight = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data).data, strides=(1,))
-    return mix64(eight[:-8] * PLACES[0] + eight[8:] * PLACES[1])
-
-
-def names_from(names: np.ndarray, size: int, length: int, places: np.ndarray) -> np.ndarray:
-    """Names of the ``length`` bytes at some places from those of ``size`` bytes everywhere: doubled
-    while they are too short, the last time with an overlap."""
-    if size == length:
-        return names[places]
-    if 2 * size >= length:
-        return mix64(names[places] * PLACES[2] + names[places + (length - size)] * PLACES[3])
-    half = size
-    while 2 * half < length:
-        half *= 2
-    return mix64(names_from(names, size, half, places) * PLACES[4] + names_from(names, size, half, places + (length - half)) * PLACES[5])
+    eight = _eights(data) * _MIX[0]
+    eight ^= eight >> _HALF
+    two = eight[:-8] * PLACES[0]
+    two += eight[8:] * PLACES[1]
+    four = two[:-16] * PLACES[2]
+    four += two[16:] * PLACES[3]
+    return mix64(four)
+
+
+def names_at(data: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of 64 and of 32 bits for the ``length`` bytes (8 or more) at some places. The first is a chain
+    over words of 8 bytes, each step mixed in full; the second adds up the chain's states."""
+    eight = _eights(data)
+    one, other = np.full(len(places), _MIX[1]), np.zeros(len(places), np.uint64)
+    for offset in [*range(0, length - 8, 8), length - 8]:
+        one ^= eight[places + offset]
+        one *= _MIX[2]
+        one ^= one >> _HALF
+        other += one
+        other *= _MIX[3]
+    return mix64(one), (mix64(other) >> _HALF).astype(np.uint32)
