@@ -21,10 +21,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
-#: Words that make a span of a kind likelier within the window before it.
+#: Whole words that make a span of a kind likelier within the window on either side of it.
 CONTEXT = {
     "email": ("email", "mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
@@ -37,6 +37,7 @@ CONTEXT = {
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.95, "ssn": 0.5}
 RAISED = 0.3
 WINDOW = 40
+_CONTEXT = {k: re.compile(r"(?<![^\W_])(?:" + "|".join(words) + r")(?![^\W_])", re.I) for k, words in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -55,6 +56,15 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(ch, 36)) for ch in moved)) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A run may go on into the words after it, so the longest end between words whose checksum holds is taken."""
+    for m in _IBAN.finditer(text):
+        for end in range(m.end(), m.start() + 14, -1):
+            if text[end - 1] != " " and not text[end : end + 1].isalnum() and 15 <= len((own := text[m.start() : end]).replace(" ", "")) <= 34 and mod97(own):
+                yield m.start(), end
+                break
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """The only @ of a match ends its local part, so each @ is tried with the run before it."""
     at, last = text.find("@"), 0
@@ -72,21 +82,24 @@ def find(text: str) -> list[tuple[int, int, int]]:
     """(rank of the kind, start, end) of confirmed spans, by kind and then by start, in code points."""
     out = [(0, s, e) for s, e in emails(text)] if "@" in text else []
     if text.count(".") >= 3:
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (g.lstrip("0") for g in m.groups()))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
             out.append((2, *m.span()))
     if "+" in text:
         out += [(3, *m.span()) for m in _PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 15]
-    out += [(4, *m.span()) for m in _IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0])]
+    out += [(4, *span) for span in ibans(text)]
     out += [(5, *m.span()) for m in _SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     return out
 
 
-def score(text: str, rank: int, start: int) -> float:
-    before = text[max(0, start - WINDOW) : start].lower()
+def score(text: str, rank: int, start: int, end: int) -> float:
+    """The kind's prior, raised where a context word stands before or after the span."""
     kind = KINDS[rank]
-    return min(1.0, PRIOR[kind] + RAISED * any(w in before for w in CONTEXT[kind]))
+    a, b = max(0, start - WINDOW), min(len(text), end + WINDOW)
+    before, after = text[a:start], text[end:b]
+    near = any(m.start() or not a for m in _CONTEXT[kind].finditer(before)) or any(m.end() < len(after) or b == len(text) for m in _CONTEXT[kind].finditer(after))
+    return min(1.0, PRIOR[kind] + RAISED * near)
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -103,7 +116,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """
 
     def work(texts: list[str]):
-        return [[[{"kind": KINDS[k], "start": s, "end": e, "score": score(t, k, s)} for k, s, e in find(t)] for t in texts]]
+        return [[[{"kind": KINDS[k], "start": s, "end": e, "score": score(t, k, s, e)} for k, s, e in find(t)] for t in texts]]
 
     return map_texts(docs, {"spans": "array<struct<kind:string,start:int,end:int,score:double>>"}, lambda: work, {"spans": SPANS})
 
@@ -113,7 +126,7 @@ def summary(text: str) -> tuple:
     spans = find(text)
     base = [x for x in spans if x[0] < BASE]
     kinds = [x[0] for x in base]
-    return (*(kinds.count(k) for k in range(BASE)), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), max((score(text, k, s) for k, s, _ in spans), default=0.0))
+    return (*(kinds.count(k) for k in range(BASE)), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), max((score(text, k, s, e) for k, s, e in spans), default=0.0))
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:

@@ -116,20 +116,28 @@ def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, by: str = "<secret>
     Overlapping spans become one. Null texts stay null. ``n_chars``, where it is a
     column, is counted anew for texts that changed.
     """
-    own = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.struct(F.lit(0).alias("_"), *own).alias("rest"))
-    found = _joined(rows.withColumn("was_null", F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit(""))), rules)
-    rebuilt = F.aggregate(
+    names = docs.columns
+    quoted = ["`" + c.replace("`", "``") + "`" for c in names]
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+    kept = F.struct(F.lit(0).alias("c"), *[F.col(q).alias(f"c{i}") for i, q in enumerate(quoted) if i != at])  # under names of our own
+    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("was_null"), kept.alias("kept"))
+    found = _joined(rows, rules)
+    # the text is cut at the ends of merged spans; pieces are joined once, so a text of many secrets stays linear
+    merged = F.aggregate(
         "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substr("text", acc["at"] + 1, s["start"] - acc["at"])))).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text"))),
+        lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substr("text", acc["at"] + 1, F.length("text")))), by),
     )
-    new = found.select("doc_id", F.when(F.col("was_null"), F.lit(None)).when(F.size("found") == 0, F.col("text")).otherwise(rebuilt).alias("text"), F.size("found").alias("hits"), "rest")
-    return new.select(*[F.col(c) if c in ("doc_id", "text") else (F.when((F.col("hits") > 0), F.length("text").cast(dict(docs.dtypes)[c])).otherwise(F.col("rest")[c]).alias(c) if c == "n_chars" else F.col("rest")[c].alias(c)) for c in docs.columns])
+    changed = F.size("found") > 0
+    new = found.withColumn("text", F.when(F.col("was_null"), F.lit(None)).when(changed, merged).otherwise(F.col("text"))).withColumn("hit", changed)
+    out = [F.col("text") if i == at else F.col("kept")[f"c{i}"] for i in range(len(names))]
+    if size >= 0:
+        out[size] = F.when(F.col("hit"), F.length("text").cast(docs.schema[size].dataType)).otherwise(out[size])
+    return new.select(*[c.alias(n) for c, n in zip(out, names, strict=True)])
 
 
 def _of_rank(rank: int):
