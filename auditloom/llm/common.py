@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -17,35 +18,54 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: bounds what the JVM sends at once when texts are long.
-BATCH_ROWS = 512
 #: Bytes of text that a worker holds at once; a longer text is a part by itself.
 PART_BYTES = 8 << 20
 
 _OWN_SCRATCH: list[str] = []
-
-
-def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows, since one document may hold megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+#: Where the tables that ``materialize`` gave lie.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder that the session names. Where it names none, a local one with a local master; on
+    a cluster that is an error, since executors would not see each other's files."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_SCRATCH:
         _OWN_SCRATCH.append(tempfile.mkdtemp(prefix="auditloom-"))
     return f"file://{_OWN_SCRATCH[0]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and reread it: cuts the
-    lineage, and a lost executor takes nothing with it."""
-    path = f"{scratch(df.sparkSession)}/auditloom/{uuid.uuid4().hex}"
+def tables(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{scratch(spark)}/auditloom/{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and reread it: cuts the lineage, and a lost executor takes
+    nothing with it. The table of ``replaces``, which nothing reads any more, is deleted then."""
+    path = f"{tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if replaces is not None and replaces in _WRITTEN:
+        _delete(df.sparkSession, _WRITTEN[replaces])
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application: for the end of a job, when its results are written."""
+    _delete(spark, tables(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,11 +85,11 @@ def crc_mod(column: str, modulus: int):
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in order, cut and joined to batches of at most ``most`` bytes of ``text``, or one row."""
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, cut and joined to batches of at most ``most`` bytes of a column, or one row."""
     held, size = [], 0
     for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
@@ -92,7 +112,6 @@ def map_texts(docs: DataFrame, fields: dict[str, str], begin: Callable[[], Calla
     ``begin`` runs once per task and gives the function from a batch's texts to
     the fields' columns. doc_id passes through as it is, null or not.
     """
-    tune(docs.sparkSession)
     kinds = [(types or {}).get(n) or ARROW[t] for n, t in fields.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +125,6 @@ def map_texts(docs: DataFrame, fields: dict[str, str], begin: Callable[[], Calla
 
 def keep_rows(docs: DataFrame, begin: Callable[[], Callable[[list[str]], Sequence[bool]]]) -> DataFrame:
     """The rows of ``docs``, all columns as they are, for whose texts (null: empty) the function says so."""
-    tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = begin()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm import blocks as bl
-from auditloom.llm.common import block_count, byte_view, crc_mod, docs_of, materialize, mix64, read, tune
+from auditloom.llm.common import block_count, byte_view, crc_mod, docs_of, materialize, mix64, read
 from auditloom.llm.textbytes import lowered, words
 
 DEPTH = 6
@@ -248,8 +248,6 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
     repeated rows are scored like others; an empty table gives no rows; without
     training rows every decision has probability one half.
     """
-    spark = docs.sparkSession
-    tune(spark)
     buckets = block_count(docs, block_bytes)
     contexts = CONTEXT_BUCKETS * buckets
     text = bl.dealt(docs.select("doc_id", "text", "train"), bl.by_hash(buckets))

@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import docs_of, keep_rows, read, tune
+from auditloom.llm.common import by_bytes, docs_of, keep_rows, read
 
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.07
@@ -88,6 +88,35 @@ class Pattern:
         return found
 
 
+    def begin(self, before: str, distance: int) -> int:
+        """Length of the end of ``before`` that has this (least) distance from the whole pattern; the
+        one nearest to the pattern's length of equals."""
+        masks, top, full = self.reversed.masks, self.top, self.full
+        pv, mv, score, m = full, 0, len(self.text), len(self.text)
+        best = (0, m) if m == distance else None
+        for j, ch in enumerate(reversed(before), 1):
+            eq = masks.get(ch, 0)
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | ~(xh | pv) & full
+            mh = pv & xh
+            if ph & top:
+                score += 1
+            elif mh & top:
+                score -= 1
+            ph = (ph << 1 | 1) & full  # an end that is not anchored would be free of cost
+            mh = mh << 1 & full
+            pv = mh | ~(xv | ph) & full
+            mv = ph & xv
+            if score == distance and (best is None or abs(j - m) < best[1]):
+                best = (j, abs(j - m))
+        return best[0] if best else m
+
+    @cached_property
+    def reversed(self) -> Pattern:
+        return Pattern(self.text[::-1])
+
+
 class Matcher:
     """Finds items in texts with at most their budget of edits."""
 
@@ -111,7 +140,8 @@ class Matcher:
         self.empty = not places
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, distance) of each item's closest place in a normalised text."""
+        """(item_id, start, end, distance) of all places of items in a normalised text, by item and place. Of
+        places of one item that overlap the closest counts, then the first."""
         if self.empty or not text:
             return []
         starts: dict[int, list[int]] = {}
@@ -121,23 +151,30 @@ class Matcher:
         out = []
         for p, begins in starts.items():
             item_id, pattern, k = self.patterns[p]
-            m, best = len(pattern.text), None
+            m, hits = len(pattern.text), set()
             begins.sort()
             i = 0
             while i < len(begins):  # begins within k of each other share a window
                 j = i
                 while j + 1 < len(begins) and begins[j + 1] - begins[j] <= k:
                     j += 1
-                a, b = max(0, begins[i] - k), min(len(text), begins[j] + m + k)
-                hit = (0, begins[i] + m - a) if text.startswith(pattern.text, max(0, begins[i])) and begins[i] >= 0 else pattern.best(text[a:b], k)
-                if hit and m < LEAST_WITHIN and not between_words(text, a + hit[1] - m, a + hit[1]):  # without edits
-                    hit = None
-                if hit and (best is None or hit[0] < best[0]):
-                    best = (hit[0], a + hit[1])
+                todo = [(max(0, begins[i] - k), min(len(text), begins[j] + m + k))]
+                while todo:  # around a place there may be others
+                    a, b = todo.pop()
+                    hit = pattern.best(text[a:b], k) if b - a >= m - k else None
+                    if hit:
+                        end = a + hit[1]
+                        start = end - pattern.begin(text[max(0, end - m - k) : end], hit[0]) if hit[0] else end - m
+                        todo += [(a, start), (end, b)]
+                        if m >= LEAST_WITHIN or between_words(text, start, end):  # short items: without edits
+                            hits.add((hit[0], start, end))
                 i = j + 1
-            if best:
-                out.append((item_id, max(0, best[1] - m), best[1], best[0]))
-        return out
+            last: list[tuple[int, int]] = []
+            for distance, start, end in sorted(hits):
+                if all(end <= a or start >= b for a, b in last):
+                    last.append((start, end))
+                    out.append((item_id, start, end, distance))
+        return sorted(out)
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
@@ -155,18 +192,17 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """``doc_id, item_id, start, end, distance``: one row per document row and item found in it.
+    """``doc_id, item_id, start, end, distance``: one row per document row and place of an item in it.
 
     Places are in the normalised text. Null and empty texts match nothing; a
     repeated row repeats its matches; without items there are no rows.
     """
-    tune(docs.sparkSession)
     rows, fields = docs_of(docs), [("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]
 
     def searched(items: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate)
-            for batch in batches:
+            for batch in by_bytes(batches):
                 found = [(i, *m) for i, t in enumerate(batch.column("text").to_pylist()) for m in matcher.find(normal(t))]
                 if found:
                     at, *columns = zip(*found, strict=True)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import byte_view, docs_of, materialize, mix64, read, tune
+from auditloom.llm.common import by_bytes, byte_view, docs_of, materialize, mix64, read
 from auditloom.llm.textbytes import lowered, shingles, words
 
 WORDS = 5
@@ -84,7 +84,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, set_id, bands`` of each row; set_id is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             sizes, ids, keys = [], [], []
             for s in sets_of(batch.column("text")):
                 sizes.append(len(s))
@@ -99,7 +99,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """``node, items``: the whole set of each row's text, under the set's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             sets = [s for s in sets_of(batch.column("text")) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.binary()), _longs(sets)], names=["node", "items"])
 
@@ -120,7 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = materialize(small)
+        edges = materialize(small, replaces=edges)
         after = _fingerprint(edges)
         if before == after:
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
@@ -139,8 +139,6 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     nothing. Rows without doc_id link like others; a group without any doc_id has
     null as component_id and is kept. component_id is the least doc_id of a group.
     """
-    spark = docs.sparkSession
-    tune(spark)
     rows = docs_of(docs)
     sig = materialize(signed(rows))
     nodes = sig.where("set_id is not null").groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("named"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))

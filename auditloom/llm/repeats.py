@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm import blocks as bl
-from auditloom.llm.common import byte_view, docs_of, materialize, read, tune
+from auditloom.llm.common import byte_view, docs_of, materialize, read
 from auditloom.llm.textbytes import names32, names_at
 
 LENGTH = 50
 SAMPLE = 32
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Text whose names are held at once.
 PART_BYTES = 1 << 19
 #: Bits of a sampled name that are sent; a clash only lets a window through to the full comparison.
@@ -279,8 +279,6 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK
     """
     if length < SAMPLE:
         raise ValueError(f"strings of {SAMPLE} bytes or more")
-    spark = docs.sparkSession
-    tune(spark)
     null = F.col("doc_id").isNull()
     totals = docs_of(docs).groupBy(null.alias("null")).agg(F.sum(F.octet_length("text")).alias("b"))
     size = {r["null"]: r["b"] for r in totals.collect()}

@@ -7,8 +7,11 @@ sum to the number of rows, so balance is exact, and a new shard moves only its
 own share plus what overflows.
 
 Only counts per cell (``cells`` rows, a fixed bound) reach the driver. The walk
-around the ring turns them into ranges of ranks, and each row finds its shard
-and its slot by its rank within its cell: one window over hash-dealt cells.
+around the ring turns them into ranges of ranks. Rows that are alike (doc_id, size,
+checksum) are one group with a count, so a repeated row is no hot key; each group
+finds its shards and slots by its ranks within its cell, in one window over
+hash-dealt cells. The hash is of doc_id and checksum, so the texts of one doc_id
+do not share a cell.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import read
+from auditloom.llm.common import materialize, read
 
 SHARDS = 24
 VIRTUAL_NODES = 64
 CELLS = 1 << 14
+#: Rows alike that are unfolded at once.
+SPREAD = 10_000
 
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES, cells: int = CELLS) -> list[tuple[int, int]]:
@@ -75,25 +80,28 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VI
 
     Law ``rows``: counts of any two shards differ by one at most, whatever the
     sizes. Null texts count as empty, rows without doc_id are placed by their
-    text, repeated rows get slots of their own, an empty table gives no rows.
+    text, repeated rows get slots of their own, an empty table gives no rows. Equal
+    places on the ring go to the smaller shard first.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.lit(8)).alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    key = F.xxhash64(F.when(F.col("doc_id").isNull(), F.col("text_crc32")).otherwise(F.col("doc_id")))
-    cell = F.pmod(key, F.lit(cells)).cast("int")
-    only_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("text_crc32"))
-    counts = {r["cell"]: r["n"] for r in only_ids.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most `cells` rows
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.lit(8)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"))
+    key = F.xxhash64("doc_id", "text_crc32")
+    alike = ["doc_id", "size", "text_crc32"]
+    groups = rows.groupBy(*alike).agg(F.count("*").alias("n")).withColumn("key", key).withColumn("cell", F.pmod("key", F.lit(cells)).cast("int"))
+    groups = materialize(groups)
+    counts = {r["cell"]: r["n"] for r in groups.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # at most `cells` rows
     ranges = spark.createDataFrame(walk(counts, shards, virtual_nodes, cells), "cell int, lo long, hi long, shard int, slot0 long")
-    ranked = rows.withColumn("cell", cell).withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy(key, "doc_id", "text_crc32", "size")).cast("long"))
+    last = F.sum("n").over(Window.partitionBy("cell").orderBy("key", *alike).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = groups.withColumn("last", last).withColumn("first", F.col("last") - F.col("n") + 1)
     # ranges: one row per cell and one per filled shard at most, so its size is fixed by the parameters
     r, d = F.broadcast(ranges).alias("r"), ranked.alias("d")
-    return d.join(r, (F.col("d.cell") == F.col("r.cell")) & F.col("d.rank").between(F.col("r.lo"), F.col("r.hi"))).select(
-        "d.doc_id", "d.size", "d.text_crc32", F.lit("rows").alias("law"), "r.shard", (F.col("r.slot0") + F.col("d.rank") - F.col("r.lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    placed = d.join(r, (F.col("d.cell") == F.col("r.cell")) & (F.col("d.first") <= F.col("r.hi")) & (F.col("d.last") >= F.col("r.lo")))
+    own = F.sequence(F.greatest("d.first", "r.lo"), F.least("d.last", "r.hi"), F.lit(SPREAD).cast("long"))
+    stretches = placed.select(*[f"d.{c}" for c in alike], "r.shard", (F.col("r.slot0") - F.col("r.lo")).alias("shift"), F.least("d.last", "r.hi").alias("hi"), F.explode(own).alias("lo"))
+    each = F.explode(F.sequence("lo", F.least(F.col("lo") + F.lit(SPREAD - 1), F.col("hi"))))
+    return stretches.select(*alike, "shard", "shift", each.alias("rank")).select(*alike, F.lit("rows").alias("law"), "shard", (F.col("shift") + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import map_texts, read, tune
+from auditloom.llm.common import by_bytes, map_texts, materialize, read
 
 BLOCK = 192  # bytes of an ADPCM block, and the unit payloads are padded to
 RATE = 8000
@@ -136,16 +136,23 @@ def resampled(media: DataFrame) -> DataFrame:
 
     Null, empty or broken media give null; equal rows give equal bytes.
     """
-    tune(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "media"):
             parsed = [_parsed(m) for m in batch.column("media").to_pylist()]
-            pcm = expand([(p[0], p[2]) if p else ("", b"") for p in parsed])
-            out = [wav(upsample(x).astype("<i2").tobytes(), "pcm", 2 * p[1]) if p else None for x, p in zip(pcm, parsed, strict=True)]
+            out = [wav(samples(x), "pcm", 2 * p[1]) if p else None for x, p in zip(_expanded(parsed), parsed, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "pcm_wav"])
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, pcm_wav binary")
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, "doc_id long, pcm_wav binary")
+
+
+def samples(pcm: np.ndarray) -> bytes:
+    """PCM at twice the rate, as the data of a file."""
+    return upsample(pcm).astype("<i2").tobytes()
+
+
+def _expanded(parsed: list) -> list[np.ndarray]:
+    return expand([(p[0], p[2]) if p else ("", b"") for p in parsed])
 
 
 def _parsed(media: bytes | None) -> tuple[str, int, bytes] | None:
@@ -161,41 +168,63 @@ def payload_of(text: str) -> tuple[int, bytes]:
     return len(raw), raw + b" " * (-len(raw) % BLOCK if raw else BLOCK)
 
 
-def feature(pcm: np.ndarray) -> str:
+def feature(wide: np.ndarray) -> str:
     """Samples, peak, zero crossings and mean size of resampled audio, in whole numbers."""
-    wide = upsample(pcm)
+    if not len(wide):
+        return "0:0:0:0"
     size = np.abs(wide.astype(np.int32))
     signs = wide >= 0
     return f"{len(wide)}:{int(size.max())}:{int(np.count_nonzero(signs[1:] != signs[:-1]))}:{int(size.sum(dtype=np.int64)) // len(wide)}"
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """``doc_id, media``: each text's payload as the data of a WAV file.
+    """``doc_id, n_bytes, media``: each text's bytes and its payload as the data of a WAV file.
 
     The payload's checksum picks the codec, whose unit (a G.711 code or an
     ADPCM block) is stored as it is, so the bytes read back are the payload.
     Null and empty texts are one unit of spaces; equal texts give equal files.
     """
-    return map_texts(docs, {"media": "binary"}, lambda: lambda texts: [[container(payload_of(t)[1]) for t in texts]])
+
+    def work(texts: list[str]):
+        sizes, payloads = zip(*map(payload_of, texts), strict=True)
+        return sizes, list(map(container, payloads))
+
+    return map_texts(docs, {"n_bytes": "long", "media": "binary"}, lambda: work)
 
 
 def container(payload: bytes) -> bytes:
     return wav(payload, CODECS[zlib.crc32(payload) % len(CODECS)])
 
 
-def described(texts: list[str]) -> list:
-    """The query's columns for a batch of texts."""
-    rows, items = [], []
-    for text in texts:
-        n, payload = payload_of(text)
-        media = container(payload)
-        codec, _, back = unwav(media)
-        items.append((codec, back))
-        rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest()))
-    features = [f"{codec}:{feature(pcm)}" for (codec, _), pcm in zip(items, expand(items), strict=True)]
-    return [*zip(*rows, strict=True), features]
+DESCRIBED = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pcm_bytes", pa.int64()), ("pcm_sha256", pa.string())]
+
+
+def described(media: DataFrame) -> DataFrame:
+    """Sizes and hashes of the payload, the file and the resampled PCM of every row of ``doc_id, n_bytes,
+    media``, and what the audio is like. Null or broken media give nulls; an empty table gives no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "media"):
+            files = batch.column("media").to_pylist()
+            parsed, rows = [_parsed(m) for m in files], []
+            for file, p, pcm in zip(files, parsed, _expanded(parsed), strict=True):
+                if p is None:
+                    rows.append((None,) * (len(DESCRIBED) - 2))
+                    continue
+                codec, _, data = p
+                wide = upsample(pcm)
+                out = wide.astype("<i2").tobytes()
+                rows.append((len(data), _sha(data), zlib.crc32(data[-16:]), len(file), _sha(file), f"{codec}:{feature(wide)}", len(out), _sha(out)))
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), DESCRIBED[2:], strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in DESCRIBED])
+
+    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in DESCRIBED)
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), F.col("media").cast("binary").alias("media")).mapInArrow(run, schema)
+
+
+def _sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
 
 
 def op5_telephony(spark, sf_dir: str) -> DataFrame:
-    fields = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
-    return map_texts(read(spark, sf_dir, "documents"), fields, lambda: described)
+    return described(materialize(stored(read(spark, sf_dir, "documents"))))

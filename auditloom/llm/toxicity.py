@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import crc_mod, docs_of, keep_rows, map_texts, read, tune
+from auditloom.llm.common import crc_mod, docs_of, keep_rows, map_texts, read
 
 #: The grammar's words.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "vermin", "filth", "jerk", "dumb")
@@ -225,7 +225,6 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     words, so a text that was copied often does not teach its own words.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
-    tune(docs.sparkSession)
     rows = docs_of(docs).join(F.broadcast(chosen), "doc_id")  # at most train_rows pairs of numbers
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0))
     # near copies mostly share their long word of least hash, so that a copied document does not teach its own words
