@@ -4,7 +4,7 @@ Words of a clause become tags (insult, threat, target, negation, reported
 speech, other). Five transducers over tags are composed into one machine; each
 rewrites tags and adds weight:
 
-* negation: an insult or threat within a few words after a negation is dropped;
+* negation: within a few words after a negation an insult weighs a tenth and a threat nothing;
 * reported speech: after a reporting verb, insults and threats weigh less;
 * target: an insult in a clause that has named somebody weighs more;
 * threat: a threat counts where a target follows or came before;
@@ -28,26 +28,51 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import crc_mod, docs_of, keep_rows, map_texts, read
 
-#: The grammar's words.
-INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "vermin", "filth", "jerk", "dumb")
-THREATS = ("kill", "hurt", "destroy", "beat", "shoot", "stab", "burn", "strangle", "murder")
-TARGETS = ("you", "your", "yours", "youre", "he", "she", "him", "her", "they", "them", "their", "those", "these", "people")
-NEGATIONS = ("not", "never", "no", "isnt", "arent", "dont", "wont", "nobody", "without", "neither", "nor")
-REPORTS = ("said", "says", "say", "wrote", "claimed", "reported", "quoted", "called", "according")
+#: The grammar's words in English, Spanish, German and French. A text is read with all of them.
+INSULTS = (
+    "idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "vermin", "filth", "jerk", "dumb",
+    "idiota", "imbécil", "estúpido", "estúpida", "basura", "escoria", "payaso", "asqueroso", "asquerosa",
+    "dummkopf", "trottel", "abschaum", "versager", "widerlich", "erbärmlich", "wertlos", "ungeziefer",
+    "imbécile", "stupide", "ordure", "racaille", "abruti", "abrutie", "minable", "vermine",
+)
+THREATS = (
+    "kill", "hurt", "destroy", "beat", "shoot", "stab", "burn", "strangle", "murder",
+    "matar", "mataré", "golpear", "golpearé", "quemar", "quemaré", "apuñalar", "destruir",
+    "töten", "umbringen", "verprügeln", "erschießen", "erstechen", "verbrennen", "zerstören",
+    "tuer", "tuerai", "frapper", "frapperai", "brûler", "brûlerai", "poignarder", "détruire",
+)
+TARGETS = (
+    "you", "your", "yours", "youre", "he", "she", "him", "her", "they", "them", "their", "those", "these", "people",
+    "tú", "usted", "ustedes", "ellos", "ellas", "vosotros", "ella", "gente",
+    "dich", "dir", "euch", "ihn", "ihm", "ihnen", "leute",
+    "toi", "vous", "eux", "elles", "gens",
+)
+NEGATIONS = (
+    "not", "never", "no", "isnt", "arent", "dont", "wont", "nobody", "without", "neither", "nor",
+    "nunca", "jamás", "nadie", "ningún", "ninguna", "sin", "tampoco",
+    "nicht", "kein", "keine", "keiner", "nie", "niemals", "niemand", "ohne", "weder",
+    "ne", "pas", "jamais", "aucun", "aucune", "personne", "sans", "ni",
+)
+REPORTS = (
+    "said", "says", "say", "wrote", "claimed", "reported", "quoted", "called", "according",
+    "dijo", "dice", "escribió", "afirmó", "llamó", "según",
+    "sagte", "sagt", "schrieb", "behauptete", "nannte", "laut", "zitierte",
+    "écrit", "affirmé", "appelé", "selon", "déclaré",
+)
 
 #: Labelled rows the model learns from at most: those of smallest hash.
 TRAIN_ROWS = 20_000
 #: Learned words: the log-odds of toxic documents among theirs, the log-likelihood ratio that their share of
-#: toxic ones must have over the share of all documents (so the count they need follows the labels), the share
-#: of all toxic documents they must be in, and how many of a kind are kept. Copies of one document count once.
+#: toxic ones must have over the share of all documents (so the count they need follows the labels), and the share
+#: of all toxic documents they must be in, which bounds their number. Copies of one document count once.
 #: Beginnings of words of these lengths are learned too, as ``beginning*``: inflected insults share one.
 STEMS = (5, 6, 7)
-LEAST_ODDS, LEAST_EVIDENCE, LEAST_OF_TOXIC, MOST_WORDS = 2.0, 12.0, 0.004, 400
+LEAST_ODDS, LEAST_EVIDENCE, LEAST_OF_TOXIC = 2.0, 12.0, 0.004
 #: ``word+`` and ``beginning*+`` mark documents that repeat them: twice, and once for so many words.
 TWICE, PER_WORDS = 2, 400
 
@@ -97,7 +122,8 @@ def grammar() -> Transducer:
 
 
 MACHINE = grammar()
-CLAUSE_END = re.compile(r"[.!?;\n]")
+BREAKS = ".!?;\n¡¿…"
+CLAUSE_END = re.compile(f"[{BREAKS}]")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -158,7 +184,7 @@ class Scorer:
             if repeated and self.read(m[0], repeated)[0] not in "IT":
                 at = m.end()
                 continue
-            start = max(low.rfind(c, done, m.start()) for c in ".!?;\n") + 1
+            start = max(low.rfind(c, done, m.start()) for c in BREAKS) + 1
             end = e.start() if (e := CLAUSE_END.search(low, m.end())) else len(low)
             scores.append(self.clause(low[max(start, done) : end], repeated))
             at = done = end
@@ -225,7 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     words, so a text that was copied often does not teach its own words.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
-    rows = docs_of(docs).join(F.broadcast(chosen), "doc_id")  # at most train_rows pairs of numbers
+    # at most train_rows pairs of numbers; of several rows of one doc_id the least text counts
+    rows = docs_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0))
     # near copies mostly share their long word of least hash, so that a copied document does not teach its own words
     trace = F.array_min(F.transform(F.filter("found", lambda w: F.length(w) >= 9), lambda w: F.xxhash64(w)))
@@ -244,8 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     evidence = F.col("pos") * F.log(share / rate) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
     odds = F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5))
     counted = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where((F.col("pos") >= LEAST_OF_TOXIC * toxic) & (F.col("pos") > 0)).where((odds >= LEAST_ODDS) & (share > rate) & (evidence >= LEAST_EVIDENCE))
-    kind = Window.partitionBy(F.endswith("word", F.lit("+"))).orderBy(F.desc("pos"), "word")  # the few that are left
-    top = counted.withColumn("place", F.row_number().over(kind)).where(F.col("place") <= MOST_WORDS).collect()
+    top = counted.orderBy("word").collect()  # at most the words of toxic documents over LEAST_OF_TOXIC
     value = {r["word"]: min(1.5, 0.5 + 0.2 * math.log((r["pos"] + 0.5) / (r["neg"] + 0.5))) for r in top if r["word"].rstrip("+") not in TARGETS + NEGATIONS + REPORTS}
     pos = {r["word"]: r["pos"] for r in top}
     there = _pruned({w: v for w, v in value.items() if not w.endswith("+")}, pos)
