@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,7 +12,9 @@ from pyspark.sql import functions as F
 from auditloom.functions import stats
 from auditloom.operators import models, split
 
-K_GRID = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
+#: Column counts of the top-K curve; the second is for pools of many datasets.
+K_GRID = (1, 2, 4, 8, 16, 32, 64)
+K_GRID_FINE = (1, 2, 4, 6, 8, 12, 16, 24, 32, 64)
 
 
 def usable(pool: DataFrame) -> DataFrame:
@@ -37,11 +38,11 @@ def screen(long: DataFrame, floor: DataFrame) -> DataFrame:
     return separation(long, ["signal"], "value", "suspect").join(floor, "signal").where(F.col("separation") > F.col("floor")).select("signal")
 
 
-def external(pool: DataFrame, arms: dict[str, Sequence[str]], draws: int = 10, screened: bool = True, repeats: int = 40, trees: int = 200) -> DataFrame:
-    """One row per arm and draw: AUC, TPR and FPR at p <= 0.1 of target and blind, columns kept.
+def external_scores(pool: DataFrame, arms: dict[str, Sequence[str]], draws: int = 10, screened: bool = True, repeats: int = 40, trees: int = 200) -> DataFrame:
+    """``arm, draw, n_selected, side, dataset_id, y, score, p_value`` of every suspect, side xt or xb.
 
     Each (arm, draw) is a group of its own; it holds the arm's columns of all
-    datasets of the pool, which is one row per dataset.
+    datasets of the pool, which is one row per dataset. A draw of which fewer than two columns pass gives no rows.
     """
     plan = [(a, d, s) for a, names in arms.items() for d in range(draws) for s in names]
     spark = pool.sparkSession
@@ -51,26 +52,35 @@ def external(pool: DataFrame, arms: dict[str, Sequence[str]], draws: int = 10, s
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         arm, draw = pdf["arm"].iloc[0], int(pdf["draw"].iloc[0])
         y = pdf.groupby("dataset_id")["y"].first().sort_index()
-        sides = {side: pdf.pivot(index="dataset_id", columns="signal", values=side).sort_index().to_numpy(float) for side in ("xt", "xb")}
         known = _known(y.index, y.to_numpy(), draw)
-        out = {"arm": arm, "draw": draw}
-        kept = None
+        out, kept = [], None
         for side in ("xt", "xb"):
-            x = _impute(sides[side], known)
+            x = _impute(pdf.pivot(index="dataset_id", columns="signal", values=side).sort_index().to_numpy(float), known)
             if kept is None:
                 kept = _screened(x, known, draw, repeats) if screened else np.arange(x.shape[1])
             if len(kept) < 2:
-                return pd.DataFrame([], columns=[n for n, _ in _EXTERNAL])
+                return pd.DataFrame(columns=[c.split()[0] for c in _SUSPECTS.split(", ")])
             a = models.Forest(trees, seed=draw).fit(x[known][:, kept]).score(x[:, kept])
-            cal, test, truth = np.sort(a[known]), a[~known], y.to_numpy()[~known]
+            cal, test = np.sort(a[known]), a[~known]
             p = (1 + len(cal) - np.searchsorted(cal, test, side="left")) / (len(cal) + 1)
-            out |= {f"{side}_auc": models.rank_auc(test, truth), f"{side}_tpr": float((p[truth == 1] <= 0.1).mean()) if (truth == 1).any() else 0.0, f"{side}_fpr": float((p[truth != 1] <= 0.1).mean()) if (truth != 1).any() else 0.0}
-        return pd.DataFrame([out | {"n_selected": len(kept)}])[[n for n, _ in _EXTERNAL]]
+            out.append(pd.DataFrame({"arm": arm, "draw": draw, "n_selected": len(kept), "side": side, "dataset_id": y.index[~known], "y": y.to_numpy()[~known], "score": test, "p_value": p}))
+        return pd.concat(out)
+
+    kinds = dict(pool.dtypes)
+    return rows.groupBy("arm", "draw").applyInPandas(one, _SUSPECTS.replace("dataset_id long", f"dataset_id {kinds['dataset_id']}"))
+
 
-    return rows.groupBy("arm", "draw").applyInPandas(one, ", ".join(f"{n} {t}" for n, t in _EXTERNAL))
+_SUSPECTS = "arm string, draw int, n_selected long, side string, dataset_id long, y int, score double, p_value double"
 
 
-_EXTERNAL = [("arm", "string"), ("draw", "int"), *((f"{s}_{m}", "double") for s in ("xt", "xb") for m in ("auc", "tpr", "fpr")), ("n_selected", "long")]
+def external(pool: DataFrame, arms: dict[str, Sequence[str]], draws: int = 10, screened: bool = True, repeats: int = 40, trees: int = 200) -> DataFrame:
+    """One row per arm and draw: AUC, TPR and FPR at p <= 0.1 of target and blind, columns kept."""
+    scores = external_scores(pool, arms, draws, screened, repeats, trees)
+    keys = ["arm", "draw", "side"]
+    hit = lambda member: F.coalesce(F.avg(F.when((F.col("y") == 1) == F.lit(member), (F.col("p_value") <= 0.1).cast("double"))), F.lit(0.0))
+    rates = scores.groupBy(*keys, "n_selected").agg(hit(True).alias("tpr"), hit(False).alias("fpr"))
+    sides = rates.join(stats.auc(scores, keys, "score", "y").select(*keys, "auc"), keys)
+    return sides.groupBy("arm", "draw", "n_selected").agg(*[F.max(F.when(F.col("side") == s, F.col(m))).alias(f"{s}_{m}") for s in ("xt", "xb") for m in ("auc", "tpr", "fpr")])
 
 
 def evaluate(draws: DataFrame) -> DataFrame:
@@ -112,59 +122,96 @@ def _screened(x: np.ndarray, known: np.ndarray, draw: int, repeats: int) -> np.n
     return np.flatnonzero(sep(x, ~known) > np.quantile(floors, 0.95, axis=0))
 
 
-def internal(pool: DataFrame, scopes: dict[str, Sequence[str]], kinds: Sequence[str] = ("lr", "trees"), seed: int = 0, replicates: int = 2000) -> DataFrame:
+def folds(pool: DataFrame, seed: int = 0, most: int = 5) -> DataFrame:
+    """``dataset_id, y, fold``: two stratified folds or more, as many as the rarer class has datasets, ``most`` at most."""
+    units = pool.groupBy("dataset_id").agg(F.min("y").cast("int").alias("y"))
+    rarer = units.groupBy("y").agg(F.count("*").alias("c")).agg(F.greatest(F.lit(2), F.least(F.lit(most), F.min("c"))).alias("k"))
+    ranked = split.hash_rank(units, ["y"], seed, "fold", "dataset_id")
+    return ranked.join(F.broadcast(rarer)).select("dataset_id", "y", ((F.col("hr") - 1) % F.col("k")).cast("int").alias("fold"))  # one row
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """Every row once for each fold as the one held out: ``hold``."""
+    return rows.join(rows.select(F.col("fold").alias("hold")).distinct())
+
+
+def _side(pdf: pd.DataFrame, side: str, columns: Sequence[str]) -> np.ndarray:
+    return pdf.pivot(index="dataset_id", columns="signal", values=side).sort_index()[list(columns)].to_numpy(float)
+
+
+def ranks(cells: DataFrame, keys: Sequence[str], side: str = "xt") -> DataFrame:
+    """``signal, importance, place`` for each fold held out: columns by mean size of their Shapley contributions
+    to boosted trees of the other folds, one task per fold."""
+    kinds = dict(cells.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        hold = pdf["hold"].iloc[0]
+        train = pdf[pdf["fold"] != hold]
+        names = sorted(train["signal"].unique())
+        y = train.groupby("dataset_id")["y"].first().sort_index().to_numpy().astype(int)
+        x = _side(train, side, names)
+        size = np.abs(models.BoostedTrees().fit(x, y).contributions(x)).mean(0)
+        place = np.empty(len(names), int)
+        place[np.argsort(-size, kind="stable")] = np.arange(1, len(names) + 1)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "hold": hold, "signal": names, "importance": size, "place": place})
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "hold int, signal string, importance double, place int"])
+    return _held(cells).groupBy(*keys, "hold").applyInPandas(one, schema)
+
+
+def top_scores(cells: DataFrame, ranked: DataFrame, kinds: Sequence[str], ks: Sequence[int]) -> DataFrame:
+    """``scope, kind, k, n_cols, dataset_id, y, target, blind``: out-of-fold scores on the ``k`` first columns of
+    each fold's own ranks, the same ones for target and blind. Every (scope, kind, k, fold) is a task."""
+    spark = cells.sparkSession
+    sizes = ranked.groupBy("scope").agg(F.max("place").alias("n_cols"))
+    grid = spark.createDataFrame([(kind, k) for kind in kinds for k in ks], "kind string, k int")
+    picked = ranked.join(sizes, "scope").join(F.broadcast(grid), F.col("k") <= F.col("n_cols")).where(F.col("place") <= F.col("k"))  # a few kinds times a few counts
+    rows = picked.select("scope", "kind", "k", "hold", "n_cols", "signal", "place").join(cells, ["scope", "signal"])
+    fields = "scope string, kind string, k int, n_cols int, dataset_id {0}, y int, target double, blind double".format(dict(cells.dtypes)["dataset_id"])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = pdf.drop_duplicates("signal").sort_values("place")["signal"]
+        head = pdf.groupby("dataset_id")[["y", "fold"]].first().sort_index()
+        y, train = head["y"].to_numpy().astype(int), head["fold"].to_numpy() != pdf["hold"].iloc[0]
+        out = {c: _fit_predict(pdf["kind"].iloc[0], x[train], y[train], x[~train]) for c, x in (("target", _side(pdf, "xt", names)), ("blind", _side(pdf, "xb", names)))}
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in ("scope", "kind", "k", "n_cols")}, "dataset_id": head.index[~train], "y": y[~train], **out})
+
+    return rows.groupBy("scope", "kind", "k", "hold").applyInPandas(one, fields)
+
+
+def scoped(pool: DataFrame, scopes: dict[str, Sequence[str]], seed: int = 0) -> DataFrame:
+    """``scope, signal, dataset_id, y, fold, xt, xb`` of each scope's usable columns."""
+    plan = pool.sparkSession.createDataFrame([(s, n) for s, names in scopes.items() for n in names], "scope string, signal string")
+    return plan.join(usable(pool), "signal").join(pool.select("dataset_id", "signal", "xt", "xb"), "signal").join(folds(pool, seed), "dataset_id")
+
+
+def internal(pool: DataFrame, scopes: dict[str, Sequence[str]], kinds: Sequence[str] = ("lr", "trees"), seed: int = 0, replicates: int = 2000, ks: Sequence[int] = K_GRID) -> DataFrame:
     """One row per scope and classifier: the elbow count K*, out-of-fold AUC of target and blind
     on the same columns there, their gap, and its spread over paired resamples.
 
-    Columns are ranked by mean contribution within each training fold, on the target alone.
+    Columns are ranked within each training fold on the target alone, once for all classifiers.
     """
-    spark = pool.sparkSession
-    plan = [(s, k, n) for s, names in scopes.items() for k in kinds for n in names]
-    rows = spark.createDataFrame(plan, "scope string, kind string, signal string").join(pool.select("dataset_id", "y", "signal", "xt", "xb"), "signal")
+    best = at_elbow(pool, scopes, kinds, seed, ks)
+    keys = ["scope", "kind"]
+    areas = [stats.auc(best, keys, side, "y").select(*keys, F.col("auc").alias(side)) for side in ("target", "blind")]
+    heads = best.groupBy(*keys).agg(F.max("n_cols").alias("n_cols"), F.max("k").alias("k_star"))
+    spread = split.bootstrap(best.withColumn("row_id", F.col("dataset_id")), keys, replicates).select(*keys, "gap_sd", "p_gap_le_0")
+    out = heads.join(areas[0], keys).join(areas[1], keys).withColumn("gap", F.col("target") - F.col("blind")).join(spread, keys)
+    return out.select(*keys, "n_cols", "k_star", "target", "blind", "gap", "gap_sd", "p_gap_le_0")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        scope, kind = pdf["scope"].iloc[0], pdf["kind"].iloc[0]
-        labels = pdf.groupby("dataset_id")["y"].first().sort_index()
-        y = labels.to_numpy().astype(int)
-        side = {c: pdf.pivot(index="dataset_id", columns="signal", values=c).sort_index().to_numpy(float) for c in ("xt", "xb")}
-        use = np.flatnonzero((np.nanstd(side["xt"], 0) > 0) | (np.nanstd(side["xb"], 0) > 0))
-        fold = _folds(list(labels.index), y, seed)
-        ranks = {f: use[np.argsort(-np.abs(models.Stumps().fit(side["xt"][fold != f][:, use], y[fold != f]).contributions(side["xt"][fold != f][:, use])).mean(0), kind="stable")] for f in np.unique(fold)}
-        curve, scores = {}, {}
-        for k in sorted({min(k, len(use)) for k in K_GRID if k <= max(1, len(use))}):
-            got = {}
-            for c in ("xt", "xb"):
-                out = np.empty(len(y))
-                for f, order in ranks.items():
-                    train, cols = fold != f, order[:k]
-                    out[~train] = _fit_predict(kind, side[c][train][:, cols], y[train], side[c][~train][:, cols])
-                got[c] = out
-            scores[k], curve[k] = got, models.rank_auc(got["xt"], y)
-        best = models.elbow(curve)
-        t, b = scores[best]["xt"], scores[best]["xb"]
-        gen = np.random.default_rng(zlib.crc32(f"{scope}|{kind}".encode()))
-        gaps = [models.rank_auc(t[i], y[i]) - models.rank_auc(b[i], y[i]) for i in (gen.integers(0, len(y), len(y)) for _ in range(replicates)) if 0 < y[i].sum() < len(y)]
-        ta, ba = models.rank_auc(t, y), models.rank_auc(b, y)
-        return pd.DataFrame([{"scope": scope, "kind": kind, "n_cols": len(use), "k_star": best, "target": ta, "blind": ba, "gap": ta - ba, "gap_sd": float(np.std(gaps)), "p_gap_le_0": float(np.mean(np.array(gaps) <= 0))}])
-
-    return rows.groupBy("scope", "kind").applyInPandas(one, "scope string, kind string, n_cols long, k_star int, target double, blind double, gap double, gap_sd double, p_gap_le_0 double")
-
-
-def _folds(ids: Sequence, y: np.ndarray, seed: int, most: int = 5) -> np.ndarray:
-    import hashlib
 
-    k = max(2, min(most, int(np.bincount(y, minlength=2).min())))
-    fold = np.zeros(len(y), int)
-    for label in (0, 1):
-        own = sorted((hashlib.md5(f"{seed}|fold|{i}".encode()).hexdigest(), n) for n, i in enumerate(ids) if y[n] == label)
-        for place, (_, n) in enumerate(own):
-            fold[n] = place % k
-    return fold
+def at_elbow(pool: DataFrame, scopes: dict[str, Sequence[str]], kinds: Sequence[str] = ("lr", "trees"), seed: int = 0, ks: Sequence[int] = K_GRID) -> DataFrame:
+    """Out-of-fold scores of each scope and classifier at its K*."""
+    cells = scoped(pool, scopes, seed).persist()
+    scores = top_scores(cells, ranks(cells, ["scope"]), kinds, ks).persist()  # each row is a fit's result
+    curve = stats.auc(scores, ["scope", "kind", "k"], "target", "y")
+    star = models.elbow_table(curve, ["scope", "kind"], "k", "auc").withColumnRenamed("k_star", "k")
+    return scores.join(star, ["scope", "kind", "k"])
 
 
 def _fit_predict(kind: str, x: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
     if kind == "trees":
-        return models.Stumps().fit(x, y).predict(q)
+        return models.BoostedTrees().fit(x, y).predict(q)
     med = np.array([np.nanmedian(c) if np.isfinite(c).any() else 0.0 for c in x.T])
     x, q = np.where(np.isfinite(x), x, med), np.where(np.isfinite(q), q, med)
     m, s = x.mean(0), np.where(x.std(0) < 1e-12, 1, x.std(0))
@@ -173,21 +220,11 @@ def _fit_predict(kind: str, x: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.n
 
 def contributions(pool: DataFrame, seed: int = 0) -> DataFrame:
     """``signal, target_importance, blind_importance`` with the rank of each: mean size of
-    Shapley contributions over training folds, target and blind side by side."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = pdf.groupby("dataset_id")["y"].first().sort_index()
-        y = labels.to_numpy().astype(int)
-        fold = _folds(list(labels.index), y, seed)
-        out = {}
-        for c in ("xt", "xb"):
-            wide = pdf.pivot(index="dataset_id", columns="signal", values=c).sort_index()
-            x = wide.to_numpy(float)
-            out[c] = np.mean([np.abs(models.Stumps().fit(x[fold != f], y[fold != f]).contributions(x[fold != f])).mean(0) for f in np.unique(fold)], axis=0)
-            names = list(wide.columns)
-        return pd.DataFrame({"signal": names, "target_importance": out["xt"], "blind_importance": out["xb"]})
-
-    imp = pool.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(one, "signal string, target_importance double, blind_importance double")
+    Shapley contributions over training folds, target and blind side by side, one task per side and fold."""
+    cells = pool.select("dataset_id", "signal", "xt", "xb").join(folds(pool, seed), "dataset_id")
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).alias("x")) for n, c in (("target", "xt"), ("blind", "xb"))])).alias("v")
+    each = ranks(cells.select("dataset_id", "signal", "y", "fold", sides).select("dataset_id", "signal", "y", "fold", "v.*"), ["side"], "x")
+    imp = each.groupBy("signal").agg(*[F.avg(F.when(F.col("side") == n, F.col("importance"))).alias(f"{n}_importance") for n in ("target", "blind")])
     rank = lambda c: F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(c), "signal"))  # noqa: E731  as many rows as signals
     return imp.withColumn("target_rank", rank("target_importance")).withColumn("blind_rank", rank("blind_importance"))
 
@@ -223,11 +260,13 @@ def transfer(first: DataFrame, others: DataFrame, names: Sequence[str], label: s
 
 
 def engineered(long: DataFrame, keys: Sequence[str] = ("signal",)) -> DataFrame:
-    """Columns made of each signal with at least ten values: signed log for heavy tails, an
-    indicator above the 90th percentile, and the normalised rank."""
+    """Columns made of each signal with at least ten values: signed log for heavy tails, an indicator
+    above the 90th percentile (if its deviation is over 0.05), and the normalised rank."""
     kept = long.where(F.col("value").isNotNull())
     stats_ = kept.groupBy(*keys).agg(F.count("*").alias("n"), F.kurtosis("value").alias("kurt"), F.percentile("value", 0.9).alias("p90")).where("n >= 10")
     rows = kept.join(stats_, list(keys)).withColumn("log", F.when(F.col("kurt") > 5, F.signum("value") * F.log1p(F.abs("value")))).withColumn("over", (F.col("value") > F.col("p90")).cast("double"))
+    varies = F.stddev_pop("over").over(Window.partitionBy(*keys)) > 0.05
+    rows = rows.withColumn("over", F.when(varies, F.col("over")))
     return rows.withColumn("rank", stats.average_rank(keys, "value") / F.col("n")).select(*keys, "dataset_id", "value", "log", "over", "rank")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -71,23 +70,43 @@ def loo_table(df: DataFrame, keys: Sequence[str], row: str, label: str, names: S
     return df.select(*keys, row, label, *names).groupBy(*keys).applyInPandas(one, schema)
 
 
+def _combination(n: int, k: int, place: int) -> list[int]:
+    """The ``place``-th of the combinations of ``k`` of ``n``, in lexical order."""
+    out, low = [], 0
+    for left in range(k, 0, -1):
+        while (under := math.comb(n - low - 1, left - 1)) <= place:
+            place -= under
+            low += 1
+        out.append(low)
+        low += 1
+    return out
+
+
 def combos(df: DataFrame, row: str, label: str, names: Sequence[str], most: int = 5) -> DataFrame:
     """AUC of leave-one-out logistic regression for every combination of up to ``most`` columns.
 
     The table of datasets is small by nature (one row per dataset, the listed
-    columns); it travels with the tasks and the combinations are what is spread.
+    columns); it travels with the tasks and the combinations, told by their places, are what is spread.
     """
     spark = df.sparkSession
     table = df.select(row, label, *names).orderBy(row).toPandas()
-    y, columns = table[label].to_numpy(), {n: matrix(table, [n])[:, 0] for n in names}
-    picks = [(len(c), "+".join(c)) for k in range(1, most + 1) for c in combinations(names, k)]
+    y, columns = table[label].to_numpy(), [matrix(table, [n])[:, 0] for n in names]
+    sizes = [math.comb(len(names), k) for k in range(1, most + 1)]
 
     def run(batches):
         for pdf in batches:
-            pdf["auc"] = [rank_auc(leave_one_out(np.column_stack([columns[n] for n in c.split("+")]), y, balanced=True), y) for c in pdf["combo"]]
-            yield pdf
+            out = []
+            for place in pdf["id"]:
+                k = 1
+                while place >= sizes[k - 1]:
+                    place -= sizes[k - 1]
+                    k += 1
+                pick = _combination(len(names), k, int(place))
+                out.append((k, "+".join(names[i] for i in pick), rank_auc(leave_one_out(np.column_stack([columns[i] for i in pick]), y, balanced=True), y)))
+            yield pd.DataFrame(out, columns=["k", "combo", "auc"])
 
-    return spark.createDataFrame(picks, "k int, combo string").repartition(max(1, min(len(picks), 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "k int, combo string, auc double")
+    parts = max(1, min(sum(sizes), 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, sum(sizes), 1, parts).mapInPandas(run, "k int, combo string, auc double")
 
 
 def top_of(df: DataFrame, keys: Sequence[str], value: str, n: int, tie: str) -> DataFrame:
@@ -142,13 +161,18 @@ def _path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-class Stumps:
-    """Gradient-boosted trees on histograms for small tables: logistic loss, Newton leaves, nulls go left."""
+class BoostedTrees:
+    """Gradient-boosted trees on histograms for small tables: logistic loss, Newton leaves, nulls go left.
 
-    def __init__(self, rounds: int = 150, depth: int = 3, rate: float = 0.06, l2: float = 1.0, bins: int = 32):
+    Each round sees a seeded share of the rows and of the columns; a leaf holds at least ``least_weight`` of
+    the loss's second derivative.
+    """
+
+    def __init__(self, rounds: int = 150, depth: int = 3, rate: float = 0.06, l2: float = 1.0, bins: int = 32, rows: float = 0.85, columns: float = 0.7, least_weight: float = 2.0, seed: int = 0):
         self.rounds, self.depth, self.rate, self.l2, self.bins = rounds, depth, rate, l2, bins
+        self.rows, self.columns, self.least_weight, self.seed = rows, columns, least_weight, seed
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Stumps:
+    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         filled = np.where(np.isfinite(x), x, -np.inf)
         self.cuts = [np.unique(np.quantile(c[np.isfinite(c)], np.linspace(0, 1, self.bins + 1)[1:-1])) if np.isfinite(c).any() else np.zeros(0) for c in filled.T]
         codes = np.column_stack([np.searchsorted(cut, c, side="left") for cut, c in zip(self.cuts, filled.T, strict=True)])
@@ -156,9 +180,12 @@ class Stumps:
         self.base, self.trees = math.log(rate / (1 - rate)), []
         self.gain = np.zeros(x.shape[1])
         margin = np.full(len(y), self.base)
-        for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-margin))
-            tree = self._grow(codes, p - y, p * (1 - p), np.arange(len(y)), 0)
+        n, d = codes.shape
+        for t in range(self.rounds):
+            p, draw = 1 / (1 + np.exp(-margin)), np.random.default_rng([self.seed, t])
+            seen = np.sort(draw.permutation(n)[: max(1, round(n * self.rows))])
+            self._open = np.sort(draw.permutation(d)[: max(1, round(d * self.columns))])
+            tree = self._grow(codes, p - y, p * (1 - p), seen, 0)
             self.trees.append(tree)
             margin += self.rate * _leaf_values(tree, codes)
         return self
@@ -168,11 +195,11 @@ class Stumps:
         best = (1e-9, None, None)
         if depth < self.depth and len(rows) >= 4:
             parent = g[rows].sum() ** 2 / (h[rows].sum() + self.l2)
-            for j in range(codes.shape[1]):
+            for j in self._open:
                 k = codes[rows, j]
                 gs, hs = np.bincount(k, g[rows], self.bins + 1).cumsum(), np.bincount(k, h[rows], self.bins + 1).cumsum()
                 gain = gs**2 / (hs + self.l2) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + self.l2) - parent
-                gain[(hs < 1e-3) | (hs[-1] - hs < 1e-3)] = -1
+                gain[(hs < self.least_weight) | (hs[-1] - hs < self.least_weight)] = -1
                 at = int(gain.argmax())
                 if gain[at] > best[0]:
                     best = (float(gain[at]), j, at)
@@ -233,19 +260,9 @@ def _expected(node: dict, codes: np.ndarray, known: set[int]) -> np.ndarray:
     return share * left + (1 - share) * right
 
 
-def elbow(curve: dict[int, float]) -> int:
-    """The count farthest above the chord of its curve on a log2 axis; of fewer than three points, or a flat curve, the best."""
-    ks = sorted(curve)
-    v = np.array([curve[k] for k in ks])
-    if len(ks) < 3 or v.max() - v.min() < 1e-12:
-        return ks[int(v.argmax())]
-    x = np.log2(ks)
-    x, y = (x - x[0]) / (x[-1] - x[0]), (v - v.min()) / (v.max() - v.min())
-    return ks[int((y - (y[0] + (y[-1] - y[0]) * x)).argmax())]
-
-
 def elbow_table(curves: DataFrame, keys: Sequence[str], k: str = "k", value: str = "value") -> DataFrame:
-    """``elbow`` as a plan; the smallest count of equals."""
+    """``k_star``: the count farthest above the chord of its curve on a log2 axis, the smallest of equals; of
+    fewer than three points, or a flat curve, the best."""
     every = Window.partitionBy(*keys)
     x = F.log2(F.col(k).cast("double"))
     scaled = curves.withColumn("_x", F.try_divide(x - F.min(x).over(every), F.max(x).over(every) - F.min(x).over(every))).withColumn("_y", F.try_divide(F.col(value) - F.min(value).over(every), F.max(value).over(every) - F.min(value).over(every))).withColumn("_n", F.count("*").over(every))

@@ -21,9 +21,10 @@ def ordinal_encode(df: DataFrame, keys: Sequence[str], column: str, out: str = "
     return df.join(ranked, [*keys, column], "left")
 
 
-def label_encode(df: DataFrame, keys: Sequence[str], column: str, out: str = "code") -> DataFrame:
-    """Like ``ordinal_encode``, with null as class 0."""
-    return ordinal_encode(df, keys, column, out).withColumn(out, F.coalesce(out, F.lit(0)))
+def label_encode(df: DataFrame, keys: Sequence[str], column: str, out: str = "code", most: int = 10) -> DataFrame:
+    """Like ``ordinal_encode``, with null as class 0. A dataset of over ``most`` classes fails when it is read."""
+    coded = ordinal_encode(df, keys, column, out).withColumn(out, F.coalesce(out, F.lit(0)))
+    return coded.withColumn(out, F.when(F.col(out) < most, F.col(out)).otherwise(F.raise_error(F.lit(f"{column}: more than {most} classes")).cast("int")))
 
 
 def bin_edges(df: DataFrame, keys: Sequence[str], column: str, bins: int = 10) -> DataFrame:

@@ -85,8 +85,8 @@ def averaged(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def nn_split(obs: DataFrame) -> DataFrame:
-    """``dataset_id, row_id, side``: in order of rows, an unplaced row goes to side 0 and its
-    nearest neighbour, if unplaced, to the other; a placed neighbour sends it opposite.
+    """``dataset_id, row_id, side``: in order of rows, an unplaced row goes to side 0, and its nearest
+    neighbour, if that is unplaced, to side 1.
 
     Greedy and in order within a dataset, so each dataset is one group; datasets of
     under ten rows, or with under five on a side, are left out.
@@ -102,18 +102,19 @@ def nn_split(obs: DataFrame) -> DataFrame:
         with np.errstate(all="ignore"):
             med = np.nan_to_num(np.nanmedian(x, axis=0))
         x = np.where(np.isnan(x), med, x)
-        near = np.empty(n, int)
-        for a in range(0, n, 512):  # distances in strips, so memory stays linear
-            d = ((x[a : a + 512, None, :] - x[None]) ** 2).sum(-1)
+        near, step = np.empty(n, int), max(1, (1 << 22) // n)
+        for a in range(0, n, step):  # distances in strips of 32 MB, feature by feature
+            d = np.zeros((len(x[a : a + step]), n))
+            for column in x.T:
+                d += (column[a : a + step, None] - column[None]) ** 2
             d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-            near[a : a + 512] = d.argmin(1)
+            near[a : a + step] = d.argmin(1)
         side = np.full(n, -1)
         for i in range(n):
             if side[i] < 0:
-                j = near[i]
-                side[i] = 1 - side[j] if side[j] >= 0 else 0
-                if side[j] < 0:
-                    side[j] = 1 - side[i]
+                side[i] = 0
+                if side[near[i]] < 0:
+                    side[near[i]] = 1
         if min((side == 0).sum(), (side == 1).sum()) < 5:
             return empty
         return pd.DataFrame({"dataset_id": pdf["dataset_id"].values, "row_id": pdf["row_id"].values, "side": side.astype("int32")})
@@ -121,34 +122,23 @@ def nn_split(obs: DataFrame) -> DataFrame:
     return obs.select("dataset_id", "row_id", "x").groupBy("dataset_id").applyInPandas(one, "dataset_id long, row_id long, side int")
 
 
+#: The Poisson distribution function of mean one; a ninth draw has a probability of one in a million.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402)
+
+
 def bootstrap(scores: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
     """``gap`` statistics of paired resamples of ``y, target, blind``: deviations and P(gap <= 0).
 
-    A resample is a seeded weight per row (Poisson with mean one), so replicates
-    are a column and the AUC of each is weighted; resamples of one class drop out.
-    Every task holds one group's scores and its share of replicates.
+    A resample is a weight per row (Poisson with mean one, from a hash of replicate and row), so replicates are
+    rows of a plan and the AUC of each is weighted; resamples of one class drop out.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf["y"].to_numpy()
-        head = {k: pdf[k].iloc[0] for k in keys}
-        gaps = []
-        for rep in range(replicates):
-            w = np.random.default_rng([rep, len(y)]).poisson(1.0, len(y)).astype(float)
-            if not (w[y == 1].sum() and w[y == 0].sum()):
-                continue
-            gaps.append([_weighted_auc(pdf[c].to_numpy(), y, w) for c in ("target", "blind")])
-        g = np.array(gaps).reshape(-1, 2)
-        gap = g[:, 0] - g[:, 1]
-        return pd.DataFrame([{**head, "target_sd": g[:, 0].std(), "blind_sd": g[:, 1].std(), "gap_sd": gap.std(), "p_gap_le_0": float((gap <= 0).mean()), "used": len(g)}])
-
-    schema = scores.select(*keys).schema.simpleString()[7:-1].replace(":", " ")
-    return scores.select(*keys, "row_id", "y", "target", "blind").groupBy(*keys).applyInPandas(lambda pdf: run(pdf.sort_values("row_id")), schema + ", target_sd double, blind_sd double, gap_sd double, p_gap_le_0 double, used long")
-
-
-def _weighted_auc(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    values, index = np.unique(score, return_inverse=True)
-    pos, neg = np.bincount(index, w * (y == 1), len(values)), np.bincount(index, w * (y != 1), len(values))
-    return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
-
-
+    u = rng.uniform(0, "boot", "rep", "row_id")
+    weight = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    drawn = scores.select(*keys, "row_id", "y", "target", "blind", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("w", weight).where("w > 0")
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("double").alias("s")) for c in ("target", "blind")])).alias("v")
+    one = [*keys, "rep", "side"]
+    per = drawn.select(*keys, "rep", "y", "w", sides).select(*keys, "rep", "y", "w", "v.*").groupBy(*one, "s").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("w"))).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*one).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    auc = per.withColumn("below", below).groupBy(*one).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc")).where("auc is not null")
+    both = auc.groupBy(*keys, "rep").agg(*[F.max(F.when(F.col("side") == c, F.col("auc"))).alias(c) for c in ("target", "blind")]).withColumn("gap", F.col("target") - F.col("blind"))
+    return both.groupBy(*keys).agg(F.stddev_pop("target").alias("target_sd"), F.stddev_pop("blind").alias("blind_sd"), F.stddev_pop("gap").alias("gap_sd"), F.avg(F.when(F.col("gap") <= 0, 1.0).otherwise(0.0)).alias("p_gap_le_0"), F.count("*").alias("used"))

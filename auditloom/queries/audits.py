@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from auditloom.operators import audit, manip, models, predict, profile, signals
+from auditloom.functions import stats
+from auditloom.operators import audit, manip, models, predict, profile, signals, split
 from auditloom.operators.measure import classification
 from auditloom.plans import sweeps
-from auditloom.queries.base import EPS, MANY, OBS, PRED, ROLES, VARIANTS, entropy, leaning, own, query, with_
+from auditloom.queries.base import EPS, MANY, OBS, PRED, ROLES, VARIANTS, entropy, leaning, own, query, uniform, with_
 from auditloom.queries.preparation import VECTORS
 from auditloom.sinks import writers
 from auditloom.sources import fixtures as fx
@@ -200,15 +201,19 @@ def cache_misses(spark, sf):
     return writers.missing(plan, plan.where("dataset_id % 2 = 0 and manip_key = 'default'"))
 
 
-@query("dump_halves", "part:s n:l", "SELECT CASE WHEN l_suppkey < 50 THEN 'a' ELSE 'b' END AS part, count(*) AS n FROM lineitem GROUP BY 1")
+@query("dump_halves", "part:s n:l", "SELECT CASE WHEN l_suppkey < (SELECT (max(l_suppkey) + 1) // 2 FROM lineitem) THEN 'a' ELSE 'b' END AS part, count(*) AS n FROM lineitem GROUP BY 1")
 def dump_halves(spark, sf):
-    return writers.halves(fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("table_id")), 100).groupBy("part").agg(F.count("*").alias("n"))
+    return writers.halves(fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("table_id"))).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("result_json", "kind:s n:l", "SELECT 'row' AS kind, count(*) AS n FROM supplier UNION ALL SELECT 'head', 1")
+@query("result_json", "line:l kind:s key:l value:d", "SELECT s_suppkey AS line, 'row' AS kind, s_suppkey AS key, s_acctbal AS value FROM supplier UNION ALL SELECT 0, 'head', count(*), avg(s_acctbal) FROM supplier")
 def result_json(spark, sf):
-    lines = writers.result_json({"model": "knn"}, {"n": 1}, fx.table(spark, sf, "supplier"))
-    return lines.groupBy(F.when(F.get_json_object("value", "$.metadata.model").isNotNull(), "head").otherwise("row").alias("kind")).agg(F.count("*").alias("n"))
+    rows = fx.table(spark, sf, "supplier")
+    mean = rows.agg(F.count("*").alias("n"), F.avg("s_acctbal").alias("m")).first()
+    lines = writers.result_json({"model": "knn"}, {"n": mean["n"], "mean": mean["m"]}, rows)
+    at = lambda path: F.get_json_object("value", path)
+    head = at("$.metadata.model").isNotNull()
+    return lines.select(F.coalesce(at("$.s_suppkey"), F.lit(0)).alias("line"), F.when(head, "head").otherwise("row").alias("kind"), F.coalesce(at("$.metrics.n"), at("$.s_suppkey")).alias("key"), F.coalesce(at("$.metrics.mean"), at("$.s_acctbal")).alias("value"))
 
 
 @query("render_internal", "dataset_id:l cell:s", with_(OBS, PRED, BLIND, POOL, "g AS (SELECT dataset_id, avg(xt - xb) AS m, stddev_samp(xt - xb) AS s FROM pool GROUP BY 1)") + "SELECT dataset_id, regexp_replace(printf('%+.4f', m), '^([+-]?)0\\.', '\\1.') || ' ± ' || regexp_replace(printf('%.4f', s), '^0\\.', '.') AS cell FROM g")
@@ -223,9 +228,14 @@ def hist_by_class(spark, sf):
     return writers.histogram(rows, ["lab"], "n_chars")
 
 
-@query("pvalue_hist", "bin:l share:d", with_(OBS, PRED, "pv AS (SELECT 1 AS g, log10(greatest(p0, 1e-4)) AS v FROM pred)", "s AS (SELECT min(v) AS lo, max(v) AS hi FROM pv)", "b AS (SELECT greatest(0, least(23, floor((v - lo) / (hi - lo) * 24))) AS bin FROM pv, s)") + "SELECT bin, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM b GROUP BY 1")
+CONFORMAL = "cal AS (SELECT dataset_id, greatest(p0, p1, p2) AS s FROM pred WHERE row_id % 2 = 0), tst AS (SELECT dataset_id, row_id, greatest(p0, p1, p2) AS s FROM pred WHERE row_id % 2 = 1), cp AS (SELECT 1 AS g, log10(greatest((1 + (SELECT count(*) FROM cal WHERE cal.dataset_id = tst.dataset_id AND cal.s >= tst.s)) / (1e0 + (SELECT count(*) FROM cal WHERE cal.dataset_id = tst.dataset_id)), 1e-4)) AS v FROM tst)"
+
+
+@query("pvalue_hist", "bin:l share:d", with_(OBS, PRED, CONFORMAL, "s AS (SELECT min(v) AS lo FROM cp)", "b AS (SELECT greatest(0, least(23, floor((v - lo) / (0 - lo) * 24))) AS bin FROM cp, s)") + "SELECT bin, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM b GROUP BY 1")
 def pvalue_hist(spark, sf):
-    return writers.histogram(fx.predictions(spark, sf).select(F.lit(1).alias("g"), F.get("probs", F.lit(0)).alias("p")), ["g"], "p", bins=24, low=0.0, high=1.0, log=True)
+    scored = fx.predictions(spark, sf).select("dataset_id", "row_id", F.array_max("probs").alias("s"))
+    p = stats.conformal(scored.where("row_id % 2 = 0"), scored.where("row_id % 2 = 1"), ["dataset_id"], "s")
+    return writers.pvalue_histogram(p.select(F.lit(1).alias("g"), "p_value"), ["g"], "p_value")
 
 
 @query("coverage", "target_cov:d blind_cov:d", with_(OBS, PRED, BLIND, POOL) + "SELECT avg(CASE WHEN xt IS NULL THEN 0e0 ELSE 1e0 END) AS target_cov, avg(CASE WHEN xb IS NULL THEN 0e0 ELSE 1e0 END) AS blind_cov FROM pool")
@@ -238,10 +248,10 @@ def class_centroids(spark, sf):
     return fx.vectors(spark, sf).select(F.col("y").alias("label"), F.posexplode("x").alias("j", "v")).groupBy("label", "j").agg(F.avg("v").alias("centre"))
 
 
-@query("wide_guard", "dataset_id:l reason:s", "SELECT DISTINCT l_suppkey AS dataset_id, CASE WHEN l_suppkey % 2 = 0 THEN 'too many features' END AS reason FROM lineitem")
+@query("wide_guard", "dataset_id:l n_features:l reason:s", "SELECT conv_id AS dataset_id, count(*) AS n_features, CASE WHEN count(*) > 4 THEN 'too many features' END AS reason FROM conversations GROUP BY 1")
 def wide_guard(spark, sf):
-    sizes = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("dataset_id")).distinct().withColumn("n_features", F.when(F.col("dataset_id") % 2 == 0, 10_001).otherwise(10))
-    return profile.wide_guard(sizes)
+    sizes = fx.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("dataset_id")).agg(F.count("*").alias("n_features"))
+    return profile.wide_guard(sizes, 4)
 
 
 @query("external_audit", "arm:s scheme:s target_auc:d blind_auc:d gap:d draws:l")
@@ -275,7 +285,7 @@ def pool_wide(spark, sf, *more):
 
 @query("loo_logistic", "dataset_id:l y:l score:d")
 def loo_logistic(spark, sf):
-    wide, cols = pool_wide(spark, sf)
+    wide, cols = pool_wide(spark, sf, "base_loss", "base_prediction_margin")
     return models.loo_table(wide.withColumn("g", F.lit(1)), ["g"], "dataset_id", "y", cols)
 
 
@@ -285,17 +295,27 @@ def combo_search(spark, sf):
     return models.top_of(models.combos(wide, "dataset_id", "y", cols), ["k"], "auc", 5, "combo")
 
 
-@query("paired_bootstrap", "g:l target_sd:d blind_sd:d gap_sd:d p_gap_le_0:d used:l")
-def paired_bootstrap(spark, sf):
-    from auditloom.operators import split
+def _draws(u: str) -> str:
+    return " + ".join(f"CASE WHEN {u} >= {c!r} THEN 1 ELSE 0 END" for c in split.POISSON)
+
 
+BOOT = f"""bw AS (SELECT rep, dataset_id, y, xt, xb, {_draws('u')} AS w FROM (SELECT r.rep, p.dataset_id, p.y, p.xt, p.xb, {uniform(0, 'boot', 'r.rep', 'p.dataset_id')} AS u FROM pool p, (SELECT unnest(generate_series(0, 1999)) AS rep) r WHERE p.signal = 'base_accuracy')),
+  bl AS (SELECT rep, side, y, w, CASE side WHEN 'target' THEN xt ELSE xb END AS s FROM bw, (SELECT unnest(['target', 'blind']) AS side) WHERE w > 0),
+  bs AS (SELECT rep, side, s, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y = 1 THEN 0 ELSE w END) AS neg FROM bl GROUP BY 1, 2, 3),
+  bc AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep, side ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM bs),
+  ba AS (SELECT rep, side, sum(pos * (below + neg / 2e0)) / CAST(sum(pos) * sum(neg) AS DOUBLE) AS auc FROM bc GROUP BY 1, 2 HAVING sum(pos) * sum(neg) > 0),
+  bg AS (SELECT rep, max(CASE WHEN side = 'target' THEN auc END) AS t, max(CASE WHEN side = 'blind' THEN auc END) AS b FROM ba GROUP BY 1)"""
+
+
+@query("paired_bootstrap", "g:l target_sd:d blind_sd:d gap_sd:d p_gap_le_0:d used:l", with_(OBS, PRED, BLIND, POOL, BOOT) + "SELECT 1 AS g, stddev_pop(t) AS target_sd, stddev_pop(b) AS blind_sd, stddev_pop(t - b) AS gap_sd, avg(CASE WHEN t - b <= 0 THEN 1e0 ELSE 0e0 END) AS p_gap_le_0, count(*) AS used FROM bg")
+def paired_bootstrap(spark, sf):
     pool = fx.pool(spark, sf).where("signal = 'base_accuracy'")
     return split.bootstrap(pool.select(F.lit(1).alias("g"), F.col("dataset_id").alias("row_id"), "y", F.col("xt").alias("target"), F.col("xb").alias("blind")), ["g"], 2000)
 
 
 @query("transfer_eval", "dataset_id:l score:d")
 def transfer_eval(spark, sf):
-    wide, cols = pool_wide(spark, sf)
+    wide, cols = pool_wide(spark, sf, "base_loss", "base_prediction_margin")
     return audit.transfer(wide.where("dataset_id % 2 = 0"), wide.where("dataset_id % 2 = 1"), cols, "y")
 
 

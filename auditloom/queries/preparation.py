@@ -135,9 +135,9 @@ def membership_by_rowcount(spark, sf):
 
 @query("membership_by_passage", "item_id:l label:l n_documents:l", "SELECT b.item_id, CASE WHEN count(d.doc_id) > 0 THEN 1 ELSE 0 END AS label, count(d.doc_id) AS n_documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def membership_by_passage(spark, sf):
-    items, docs = fx.table(spark, sf, "benchmark"), fx.table(spark, sf, "documents").select("doc_id", "text")
-    hits = items.select("item_id", F.col("text").alias("item")).join(docs, F.contains("text", F.col("item")))  # a query set of benchmark items against all rows
-    return items.select("item_id").join(hits.groupBy("item_id").agg(F.count("*").alias("n_documents")), "item_id", "left").select("item_id", F.when(F.col("n_documents") > 0, 1).otherwise(0).alias("label"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+    items = fx.table(spark, sf, "benchmark")
+    hits = readers.passages(items, fx.table(spark, sf, "documents"), "item_id", "doc_id").groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.when(F.col("n_documents") > 0, 1).otherwise(0).alias("label"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
 
 @query("member_lookup", "s_suppkey:l label:l", "SELECT s_suppkey, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_tax = 0) THEN 1 ELSE 0 END AS label FROM supplier")

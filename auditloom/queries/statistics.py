@@ -239,7 +239,7 @@ def half_splits(spark, sf):
     return split.half_splits(fx.observations(spark, sf).select("dataset_id").distinct().withColumn("all", F.lit(1)), ["all"], 40, "dataset_id")
 
 
-@query("engineered_features", "signal:s dataset_id:l log:d over:d rank:d", with_(OBS, MEANS, "st AS (SELECT signal, count(*) AS n, kurtosis_pop(v) AS k, quantile_cont(v, 0.9e0) AS p FROM mn GROUP BY signal)") + "SELECT mn.signal, dataset_id, CASE WHEN k > 5 THEN sign(v) * ln(1 + abs(v)) END AS log, CASE WHEN v > p THEN 1e0 ELSE 0e0 END AS over, (rank() OVER (PARTITION BY mn.signal ORDER BY v) + (count(*) OVER (PARTITION BY mn.signal, v) - 1) / 2e0) / n AS rank FROM mn JOIN st ON mn.signal = st.signal WHERE n >= 10")
+@query("engineered_features", "signal:s dataset_id:l log:d over:d rank:d", with_(OBS, MEANS, "st AS (SELECT signal, count(*) AS n, kurtosis_pop(v) AS k, quantile_cont(v, 0.9e0) AS p FROM mn GROUP BY signal)") + "SELECT mn.signal, dataset_id, CASE WHEN k > 5 THEN sign(v) * ln(1 + abs(v)) END AS log, CASE WHEN stddev_pop(CASE WHEN v > p THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY mn.signal) > 0.05 THEN CASE WHEN v > p THEN 1e0 ELSE 0e0 END END AS over, (rank() OVER (PARTITION BY mn.signal ORDER BY v) + (count(*) OVER (PARTITION BY mn.signal, v) - 1) / 2e0) / n AS rank FROM mn JOIN st ON mn.signal = st.signal WHERE n >= 10")
 def engineered_features(spark, sf):
     return audit.engineered(means(spark, sf))
 

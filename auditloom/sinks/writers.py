@@ -45,8 +45,9 @@ def missing(plan: DataFrame, cached: DataFrame) -> DataFrame:
     return plan.join(cached.select(*keys).distinct(), keys, "left_anti")
 
 
-def halves(dump: DataFrame, tables: int) -> DataFrame:
-    """A prior dump parted at half its tables."""
+def halves(dump: DataFrame, tables: int | None = None) -> DataFrame:
+    """A prior dump parted at half its tables, which are numbered from 0; their number is counted where it is not given."""
+    tables = (dump.agg(F.max("table_id")).first()[0] or 0) + 1 if tables is None else tables
     return dump.withColumn("part", F.when(F.col("table_id") < tables // 2, "a").otherwise("b"))
 
 
@@ -77,3 +78,13 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 40, lo
     counts = placed.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
     totals = counts.groupBy(*keys).agg(F.sum("c").alias("_n"))
     return counts.join(totals, list(keys)).select(*keys, "bin", (F.col("c") / F.col("_n")).alias("share"))
+
+
+def pvalue_histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 24) -> DataFrame:
+    """``bin, share`` of p-values in bins of equal logarithmic width from the least (1e-4 or more) to 1."""
+    rows = df.where(F.col(value).isNotNull()).withColumn("_v", F.log10(F.greatest(F.col(value), F.lit(1e-4))))
+    low = rows.agg(F.min("_v").alias("lo"))
+    cell = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("lo"), -F.col("lo")) * bins), F.lit(bins - 1))
+    counts = rows.join(F.broadcast(low)).groupBy(*keys, F.greatest(F.lit(0), F.least(F.lit(bins - 1), cell)).cast("int").alias("bin")).agg(F.count("*").alias("c"))  # one row
+    totals = counts.groupBy(*keys).agg(F.sum("c").alias("_n"))
+    return counts.join(totals, list(keys)).select(*keys, "bin", (F.col("c") / F.col("_n")).alias("share"))

@@ -113,6 +113,28 @@ def labelled(tables: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return tables.join(members.select(F.col(key)).distinct().withColumn("_m", F.lit(1)), key, "left").withColumn("label", F.coalesce("_m", F.lit(0))).drop("_m")
 
 
+_WORDS = r"[^A-Za-z0-9\u00c0-\u024f]+"
+
+
+def passages(items: DataFrame, docs: DataFrame, item_id: str, doc_id: str, text: str = "text") -> DataFrame:
+    """``item_id, doc_id`` of every document whose text contains an item's as it is.
+
+    A word within an item, delimited there, is delimited in any text that holds the item too, so the longest
+    such word of each item is a join key, and only documents with that word are looked into. Items without one
+    (a single word or two) are a query set that every text is held against.
+    """
+    own = items.select(F.col(item_id), F.col(text).alias("item")).where("item is not null")
+    words = F.split("item", _WORDS)
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 0)
+    keyed = own.withColumn("key", F.get(F.array_sort(inner, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), F.lit(0)))
+    held = docs.select(F.col(doc_id), F.col(text).alias("text"))
+    wanted = keyed.where("key is not null").select("key").distinct()
+    found = held.select(doc_id, F.explode(F.array_distinct(F.split("text", _WORDS))).alias("key")).join(wanted, "key", "left_semi")
+    near = found.join(keyed.select("key", item_id), "key").join(held, doc_id).join(own, item_id).where(F.contains("text", "item"))
+    short = keyed.where("key is null").join(held, F.contains("text", "item"))
+    return near.select(item_id, doc_id).unionByName(short.select(item_id, doc_id))
+
+
 def results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Rows of ``successful_results`` of result files, with the file's place; nested fields as they are."""
     files = spark.read.option("multiLine", True).json(list(paths))

@@ -109,14 +109,46 @@ def test_profile_finds_dates(spark):
     assert got["d"]["is_date"] and not got["s"]["is_date"] and got["s"]["n_null"] == 1
 
 
-def test_nn_split_is_opposite(spark):
+def test_nn_split_against_a_plain_loop(spark):
     rng_ = np.random.default_rng(0)
-    rows = spark.createDataFrame([(1, i, rng_.normal(size=3).tolist()) for i in range(40)], "dataset_id long, row_id long, x array<double>")
-    got = split.nn_split(rows).toPandas().set_index("row_id").side
-    assert len(got) == 40 and min((got == 0).sum(), (got == 1).sum()) >= 5
+    points = rng_.normal(size=(60, 3)).round(1)
+    points[7, 1] = np.nan
+    rows = spark.createDataFrame([(1, i, p.tolist()) for i, p in enumerate(points)], "dataset_id long, row_id long, x array<double>")
+    got = split.nn_split(rows).toPandas().sort_values("row_id").side.tolist()
+    filled = np.where(np.isnan(points), np.nanmedian(points, axis=0), points)
+    want: dict[int, int] = {}
+    for i in range(60):
+        if i not in want:
+            want[i] = 0
+            nearest = min((j for j in range(60) if j != i), key=lambda j: (((filled[i] - filled[j]) ** 2).sum(), j))
+            want.setdefault(nearest, 1)
+    assert got == [want[i] for i in range(60)] and any(want[i] == 0 and want[j] == 0 for i in want for j in [min((j for j in range(60) if j != i), key=lambda j: ((filled[i] - filled[j]) ** 2).sum())])
     assert split.nn_split(rows.where("row_id < 9")).count() == 0
 
 
+def test_neighbours_in_many_blocks(spark, sf, monkeypatch):
+    rows = manip.with_roles(fx.vectors(spark, sf).limit(300))
+    parts = [rows.where(f"role = '{r}'").drop("role") for r in ("context", "query")]
+    order = ["row_id", "rank"]
+    one = predict.neighbours(*parts, 5).select("row_id", "nid", "rank", "d").orderBy(*order).collect()
+    monkeypatch.setattr(predict, "BLOCK_ROWS", 37)
+    assert predict.neighbours(*parts, 5).select("row_id", "nid", "rank", "d").orderBy(*order).collect() == one and len(one) == 5 * parts[1].count()
+
+
+def test_passages_by_word(spark):
+    items = spark.createDataFrame([(1, "the zebra crossed"), (2, "word"), (3, "ab cd"), (4, None), (5, "no such passage here")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "then the zebra crossed it"), (2, "xthe zebra crossedy"), (3, "the zebra  crossed"), (4, "swords cab cde"), (5, None)], "doc_id int, text string")
+    assert sorted(tuple(r) for r in readers.passages(items, docs, "item_id", "doc_id").collect()) == [(1, 1), (1, 2), (2, 4), (3, 4)]
+
+
+def test_over_ten_classes_is_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    rows = spark.createDataFrame([(1, str(i)) for i in range(11)], "g int, v string")
+    with pytest.raises(PySparkException, match="more than 10 classes"):
+        prep.label_encode(rows, ["g"], "v").collect()
+
+
 def test_loo_logistic_matches_refits():
     g = np.random.default_rng(1)
     x, y = g.normal(size=(30, 2)), (g.random(30) < 0.5).astype(int)
@@ -133,16 +165,33 @@ def test_forest_finds_the_outlier():
 def test_contributions_sum_to_the_margin():
     g = np.random.default_rng(3)
     x = g.normal(size=(80, 4))
-    model = models.Stumps(rounds=20).fit(x, (x[:, 0] + 0.2 * x[:, 1] > 0).astype(int))
+    model = models.BoostedTrees(rounds=20).fit(x, (x[:, 0] + 0.2 * x[:, 1] > 0).astype(int))
     phi = model.contributions(x)
     rest = model.margin(x) - phi.sum(1)
     assert rest == pytest.approx(np.full(80, rest[0])) and np.abs(phi).mean(0).argmax() == 0
 
 
-def test_elbow():
-    assert models.elbow({1: 0.5, 2: 0.8, 4: 0.82, 8: 0.83}) == 2
-    assert models.elbow({1: 0.5, 2: 0.5, 4: 0.5}) == 1
-    assert models.elbow({1: 0.5, 2: 0.7}) == 2
+def test_elbow(spark):
+    curves_ = {"bend": {1: 0.5, 2: 0.8, 4: 0.82, 8: 0.83}, "flat": {1: 0.5, 2: 0.5, 4: 0.5}, "two": {1: 0.5, 2: 0.7}}
+    rows = spark.createDataFrame([(g, k, v) for g, c in curves_.items() for k, v in c.items()], "g string, k int, value double")
+    assert {r["g"]: r["k_star"] for r in models.elbow_table(rows, ["g"]).collect()} == {"bend": 2, "flat": 1, "two": 2}
+
+
+def test_combinations_by_place():
+    from itertools import combinations
+
+    for n, k in ((6, 1), (6, 3), (7, 5)):
+        assert [tuple(models._combination(n, k, i)) for i in range(math.comb(n, k))] == list(combinations(range(n), k))
+
+
+def test_internal_audit_separates(spark):
+    draw = lambda *key: float(np.random.default_rng(key).normal())
+    rows = [(i, i % 2, f"base_{s}", draw(i, j) + 2 * (i % 2) * (s == "a"), draw(i, j, 1)) for i in range(120) for j, s in enumerate("abcd")]
+    pool = spark.createDataFrame(rows, "dataset_id long, y int, signal string, xt double, xb double")
+    names = [f"base_{s}" for s in "abcd"]
+    got = {r["kind"]: r for r in audit.internal(pool, {"ALL": names}, replicates=50).collect()}
+    assert set(got) == {"lr", "trees"} and all(r["target"] > 0.8 > r["blind"] and r["n_cols"] == 4 and r["k_star"] in (1, 2, 4) for r in got.values())
+    assert audit.contributions(pool).where("target_rank = 1").first()["signal"] == "base_a"
 
 
 def test_external_audit_separates(spark):
@@ -164,8 +213,10 @@ def test_alignment_errors(spark):
 def test_upsert_and_names(spark):
     old = spark.createDataFrame([(1, 1.0), (2, 2.0)], "dataset_id int, a double")
     assert {tuple(r) for r in signals.upsert(old, spark.createDataFrame([(2, 5.0), (3, 6.0)], "dataset_id int, a double")).collect()} == {(1, 1.0), (2, 5.0), (3, 6.0)}
-    with pytest.raises(ValueError):
-        signals.upsert(old, spark.createDataFrame([(2, 5.0), (2, 6.0)], "dataset_id int, a double"))
+    twice = spark.createDataFrame([(2, 5.0), (2, 6.0)], "dataset_id int, a double")
+    for pair in ((old, twice), (twice, old)):
+        with pytest.raises(ValueError):
+            signals.upsert(*pair)
     row = spark.createDataFrame([("ctx_kl2clean_late_gain",), ("mislbl_random_loss_auc",), ("other_thing",)], "signal string").select(signals.described("signal").alias("d"), signals.family("signal").alias("f")).collect()
     assert row[0]["d"]["feature"] == "RowSampling_KLDClean_LateGain" and row[0]["d"]["reduction"] == "R6"
     assert row[1]["d"]["feature"] == "LabelCorruption_CELoss_AUC" and row[2]["f"] == "other" and row[2]["d"]["feature"] is None

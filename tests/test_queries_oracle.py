@@ -35,5 +35,5 @@ def test_matches_sql(spark, sf, con, name):
 
 
 def test_every_query_has_sql_or_is_known():
-    without = {"nn_split", "sweep_plan", "fit_groups", "signal_names", "external_audit", "internal_audit", "contributions", "loo_logistic", "combo_search", "paired_bootstrap", "transfer_eval"}
+    without = {"nn_split", "sweep_plan", "fit_groups", "signal_names", "external_audit", "internal_audit", "contributions", "loo_logistic", "combo_search", "transfer_eval"}
     assert set(QUERIES) - set(ORACLE_SQL) == without
