@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def order_key(seed: int, tag: str, *columns: str | Column) -> Column:
+def order_key(seed: int | Column, tag: str, *columns: str | Column) -> Column:
     """Text to sort by for a seeded permutation or subsample."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]))
+    return F.md5(F.concat_ws("|", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), F.lit(tag), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]))
 
 
 def _part(key: Column, start: int) -> Column:
