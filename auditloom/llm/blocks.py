@@ -160,7 +160,7 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     if not sum(map(len, keys)):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)  # equal keys in any order: their counts are added up
     k, c = k[order], c[order]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     return k[first], np.add.reduceat(c, first)

@@ -34,9 +34,9 @@ from auditloom.llm.common import block_count, byte_view, crc_mod, docs_of, mater
 from auditloom.llm.textbytes import lowered, words
 
 DEPTH = 6
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 14 << 20
 #: Text that is worked on at once within a block.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 #: Buckets of contexts for each bucket of strings: a tree takes more memory than the counts it is made of.
 CONTEXT_BUCKETS = 4
 EDGE = 255  # never a byte of UTF-8: stands before a text and after it
@@ -181,7 +181,7 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     marked.sort()
     distinct = marked >> np.uint64(1)
     first = np.flatnonzero(np.r_[True, distinct[1:] != distinct[:-1]])
-    return distinct[first], np.add.reduceat(marked & np.uint64(1), first).astype(np.int64)
+    return distinct[first], np.add.reduceat(marked & np.uint64(1), first).astype(np.int32)
 
 
 def _looked_up(every: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -110,6 +110,16 @@ def _set_id(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+#: Ways in which the edges of one node are dealt, since a star's centre may have most of them.
+SALTS = 8
+
+
+def _beside_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (``a, b``) with the ``m`` that ``least`` has for their ``a``, a node's edges over several tasks."""
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(spread, ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` with the least node reachable over ``a, b`` edges, itself included, by large-star and small-star steps."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
@@ -117,9 +127,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _beside_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = _beside_least(large, small_least).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = materialize(small, replaces=edges)
         after = _fingerprint(edges)
         if before == after:
@@ -135,7 +145,7 @@ def _fingerprint(edges: DataFrame):
 def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
-    Rows that share a doc_id are one document. Documents without words link with
+    Rows that share a doc_id are one document; equal sets are linked whatever their texts. Documents without words link with
     nothing. Rows without doc_id link like others; a group without any doc_id has
     null as component_id and is kept. component_id is the least doc_id of a group.
     """
