@@ -51,6 +51,16 @@ def halves(dump: DataFrame, tables: int | None = None) -> DataFrame:
     return dump.withColumn("part", F.when(F.col("table_id") < tables // 2, "a").otherwise("b"))
 
 
+def padded(dump: DataFrame, most_rows: int, most_features: int) -> DataFrame:
+    """A prior dump in which every table has ``most_rows`` rows of ``most_features`` features: zeros fill up, and
+    ``n_rows, n_features`` say what is real. Larger tables are cut."""
+    sizes = dump.groupBy("table_id").agg(F.least(F.count("*"), F.lit(most_rows)).alias("n_rows"), F.least(F.max(F.size("x")), F.lit(most_features)).alias("n_features"))
+    grid = sizes.withColumn("row_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most_rows - 1).cast("long"))))
+    zeros = F.array_repeat(F.lit(0.0), most_features)
+    x = F.slice(F.concat(F.coalesce("x", F.expr("cast(array() as array<double>)")), zeros), 1, most_features)
+    return grid.join(dump.select("table_id", "row_id", "x", "y"), ["table_id", "row_id"], "left").select("table_id", "row_id", x.alias("x"), F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y"), "n_rows", "n_features")
+
+
 def signed(mean: str, sd: str, digits: int = 4) -> Column:
     """``+.1234 ± .0050``; a dash where the mean is missing."""
     part = lambda c, sign: F.regexp_replace(F.format_string(f"%{sign}.{digits}f", F.col(c)), r"^([+-]?)0\.", "$1.")

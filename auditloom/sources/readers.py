@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import gzip
+import io
+import time
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +41,62 @@ def by_path(spark: SparkSession, dataset_id: str, root: str = ".") -> DataFrame:
     return spark.read.parquet(f"{root}/{dataset_id}.parquet")
 
 
+@reader("split")
+def by_path_split(spark: SparkSession, dataset_id: str, root: str = ".", row: str = "row_id", seed: int = 42, valid: float = 0.15, test: float = 0.15) -> DataFrame:
+    """A table with a seeded ``split``: the first shares in hash order are test and valid, the rest train."""
+    rows = by_path(spark, dataset_id, root).withColumn("_one", F.lit(1))
+    ranked = split.hash_rank(rows, ["_one"], seed, "split", row).withColumn("_n", F.count("*").over(Window.partitionBy("_one")))
+    part = F.when(F.col("hr") <= F.floor(F.col("_n") * test), "test").when(F.col("hr") <= F.floor(F.col("_n") * (test + valid)), "valid").otherwise("train")
+    return ranked.withColumn("split", part).drop("_one", "_n", "hr")
+
+
+@reader("arrays")
+def by_arrays(spark: SparkSession, dataset_id: str, root: str = ".", fold: int = 0) -> DataFrame:
+    """``row_id, x, y, split`` of a task in a folder of ``X.npy.gz``, ``y.npy.gz`` and ``split_indices.json``
+    (per fold: lists of rows by split; rows in none have null). One file is one array, read by one task."""
+    import json
+
+    folder = f"{root}/{dataset_id}"
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                array = np.load(io.BytesIO(gzip.decompress(content)), allow_pickle=False)
+                yield pd.DataFrame({"row_id": np.arange(len(array)), "v": array.reshape(len(array), -1).astype(float).tolist()})
+
+    arrays = [spark.read.format("binaryFile").load(f"{folder}/{name}.npy.gz").select("content").mapInPandas(unpacked, f"row_id long, {c} array<double>".replace(f" {c} ", " v ")).withColumnRenamed("v", c) for name, c in (("X", "x"), ("y", "y"))]
+    folds = json.loads("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(f"{folder}/split_indices.json").collect()))
+    listed_ = [(int(i), name) for name, rows in folds[fold].items() for i in rows]
+    return arrays[0].join(arrays[1].withColumn("y", F.get("y", F.lit(0))), "row_id").join(spark.createDataFrame(listed_, "row_id long, split string"), "row_id", "left")
+
+
+def with_retries(read: Callable[[], DataFrame], attempts: int = 3, first: float = 1.0, most: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """The result of ``read``, tried again after waits that double up to ``most`` seconds; tasks have Spark's own retries."""
+    for attempt in range(attempts):
+        try:
+            return read()
+        except Exception:  # whatever a store raises
+            if attempt == attempts - 1:
+                raise
+            sleep(min(most, first * 2**attempt))
+    raise ValueError("no attempts")
+
+
+def of_task(tables: DataFrame, types: DataFrame, task: str = "classification", key: str = "dataset_id") -> DataFrame:
+    """Tables whose type (``key, task_type``) is the task."""
+    return tables.join(types.where(F.col("task_type") == task).select(key).distinct(), key, "left_semi")
+
+
+def guarded(df: DataFrame, row: str, columns: Sequence[str], target: str, least: int = 50, test: float = 0.3, seed: int = 42, whole: bool = False) -> DataFrame:
+    """``row_id, x, y`` and, unless ``whole``, a seeded ``split``: numbers cast, infinite ones null, rows without a
+    target left out; too few rows are a ValueError."""
+    from auditloom.operators import instances, prep
+
+    rows = df.select(F.col(row).alias("row_id"), F.array(*[prep.clean(c) for c in columns]).alias("x"), prep.clean(target).alias("y")).where("y is not null")
+    instances._checked(rows.count(), least, test)
+    return rows if whole else instances._split(rows, None, test, seed)
+
+
 @reader("index")
 def by_index(spark: SparkSession, dataset_id: str, index: DataFrame) -> DataFrame:
     """Through an ``id, path`` index."""
@@ -77,12 +138,20 @@ def prior_batches(dump: DataFrame, batch: int, tables: int, first: int = 0, step
     return dump.join(wanted, "table_id")
 
 
-def generated(spark: SparkSession, tables: int, rows: int, features: int, classes: int = 2, seed: int = 0) -> DataFrame:
-    """A prior dump of random linear classification tables, made where it is used."""
+def generated(spark: SparkSession, tables: int, rows: int, features: int, classes: int = 2, seed: int = 0, prior: str = "linear") -> DataFrame:
+    """A prior dump of random classification tables, made where it is used: ``linear`` scores, ``mlp`` (tanh of
+    eight random sums) or ``steps`` (a random step along each feature)."""
     base = spark.range(tables).select(F.col("id").alias("table_id")).withColumn("row_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
     x = F.array(*[rng.normal(seed, f"x{j}", "table_id", "row_id") for j in range(features)])
     w = [rng.normal(seed, f"w{j}", "table_id") for j in range(features)]
-    score = reduce(lambda a, b: a + b, [F.get("x", F.lit(j)) * w[j] for j in range(features)])
+    total = lambda parts: reduce(lambda a, b: a + b, parts)
+    value = lambda j: F.get("x", F.lit(j))
+    scores = {
+        "linear": lambda: total([value(j) * w[j] for j in range(features)]),
+        "mlp": lambda: total([rng.normal(seed, f"o{h}", "table_id") * F.tanh(total([value(j) * rng.normal(seed, f"h{h},{j}", "table_id") for j in range(features)])) for h in range(8)]),
+        "steps": lambda: total([w[j] * F.when(value(j) > rng.normal(seed, f"t{j}", "table_id"), 1.0).otherwise(-1.0) for j in range(features)]),
+    }
+    score = scores[prior]()
     return base.withColumn("x", x).withColumn("y", F.least(F.floor(F.lit(classes) / (F.lit(1.0) + F.exp(-score))), F.lit(classes - 1)).cast("double")).withColumn("single_eval_pos", F.lit(rows // 2))
 
 
