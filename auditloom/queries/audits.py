@@ -97,16 +97,6 @@ def plug_in_predict(spark, sf):
     return predict.plug_in(manip.with_roles(fx.vectors(spark, sf)).withColumn("manip_key", F.lit("default")), Nearest)
 
 
-@query("sweep_plan", "sweep:s kind:s ordinal:l intensity:d manip_key:s pred_key:s")
-def sweep_plan(spark, sf):
-    return sweeps.plan(spark, 20, 1000)
-
-
-@query("fit_groups", "manip_key:s pred_key:s entries:l")
-def fit_groups(spark, sf):
-    return sweeps.fits(sweeps.plan(spark, 20, 1000))
-
-
 NAMES = "one AS (SELECT unnest(['base', 'ctxeqq', 'nnsplit']) AS s), tra AS (SELECT unnest(['ctx', 'noise', 'mislbl_random', 'col', 'rowdup', 'qleak', 'tserum', 'bwash', 'splitsize']) AS s), agg AS (SELECT unnest(['temp', 'tshuffle', 'lperm', 'ftx', 'rowshuf', 'tabdpt_sim']) AS s), me AS (SELECT unnest(['accuracy', 'max_confidence', 'correct_confidence', 'prediction_margin', 'entropy', 'loss', 'chi_squared', 'kl_divergence', 'wasserstein']) AS m), mc AS (SELECT m FROM me UNION ALL SELECT unnest(['kl2clean', 'rkl2clean'])), tr AS (SELECT unnest(['slope', 'auc', 'gain', 'early', 'late_gain']) AS r), ar AS (SELECT unnest(['std', 'range', 'mean']) AS r), nm AS (SELECT s || '_' || m AS signal, s AS sweep, m AS measurement, '' AS reduction FROM one, me UNION ALL SELECT s || '_' || m || '_' || r, s, m, r FROM tra, mc, tr UNION ALL SELECT s || '_' || m || '_' || r, s, m, r FROM agg, me, ar), sig AS (SELECT * FROM nm WHERE NOT (sweep = 'temp' AND measurement IN ('accuracy', 'chi_squared', 'wasserstein') AND reduction IN ('std', 'range')))"
 
 
@@ -136,11 +126,6 @@ def signal_codes(spark, sf):
     return names(spark).select("signal", signals.codes("signal").alias("c")).select("signal", "c.*")
 
 
-@query("signal_names", "signal:s feature:s manipulation:s measurement:s reduction:s")
-def signal_names(spark, sf):
-    return names(spark).select("signal", signals.described("signal").alias("c")).select("signal", "c.*")
-
-
 @query("denylist", "n_all:l n_denied:l", NAMES + " :: SELECT (SELECT count(*) FROM nm) AS n_all, (SELECT count(*) FROM nm) - (SELECT count(*) FROM sig) AS n_denied")
 def denylist(spark, sf):
     every = [n for s in sweeps.AGGREGATES for m in sweeps.MEASUREMENTS for n in [f"{s}_{m}_{r}" for r in sweeps.AGGREGATE_REDUCTIONS]]

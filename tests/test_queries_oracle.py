@@ -8,7 +8,7 @@ import os
 import pandas as pd
 import pytest
 
-from auditloom.queries import audits, extraction, preparation, statistics  # noqa: F401
+from auditloom.queries import audits, evaluation, extraction, preparation, statistics  # noqa: F401
 from auditloom.queries.base import ORACLE_SQL, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
@@ -35,5 +35,5 @@ def test_matches_sql(spark, sf, con, name):
 
 
 def test_every_query_has_sql_or_is_known():
-    without = {"extract_signals", "nn_split", "sweep_plan", "fit_groups", "signal_names", "external_audit", "internal_audit", "contributions", "loo_logistic", "combo_search", "transfer_eval"}
+    without = {"baseline_splits", "baseline_eval", "loocv_models", "metadata_auc", "oof_at_elbow", "external_pvalues", "forced_instances", "extract_signals", "nn_split", "external_audit", "internal_audit", "contributions", "loo_logistic", "combo_search", "transfer_eval"}
     assert set(QUERIES) - set(ORACLE_SQL) == without
