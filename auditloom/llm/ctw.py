@@ -79,59 +79,75 @@ class Level:
         return i, self.ids[i] == ids
 
 
-def _nodes(keys: np.ndarray, counts: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (context, bits so far) and counts of zeros and ones after them; keys are (context, byte), sorted."""
-    ids = keys >> np.uint64(8 - bit)
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    ones = np.where((keys >> np.uint64(7 - bit)) & np.uint64(1), counts, 0.0)
-    total, b = np.add.reduceat(counts, first), np.add.reduceat(ones, first)
-    return ids[first], total - b, b
-
-
 def parent(ids: np.ndarray, bit: int) -> np.ndarray:
     """Id at the depth above: the farthest context byte goes."""
     prefix = np.uint64((1 << bit) - 1)
     return ((ids >> np.uint64(bit + 8)) << np.uint64(bit)) | (ids & prefix)
 
 
-def children_sum(child: Level, ids: np.ndarray, bit: int) -> np.ndarray:
-    return np.bincount(np.searchsorted(ids, parent(child.ids, bit)), weights=child.log_w, minlength=len(ids))
-
-
 def cut(keys: np.ndarray, depth_from: int, depth: int) -> np.ndarray:
     """(context, byte) keys with the context cut to its nearest ``depth`` bytes."""
     return ((keys >> np.uint64(8 * (depth_from - depth + 1))) << np.uint64(8)) | (keys & np.uint64(255))
 
 
-def depths(keys: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Sorted (context, byte) keys with positive counts, for contexts of ``depth`` down to ``top`` bytes."""
-    out = {depth: (keys, counts.astype(float))}
-    for d in range(depth - 1, top - 1, -1):
-        k, c = out[d + 1]
-        out[d] = bl.summed([cut(k, d + 1, d)], [c])
-    return out
-
-
-def weigh(by_depth: dict[int, tuple[np.ndarray, np.ndarray]], bit: int) -> dict[int, Level]:
-    """The weighted trees of one bit, by depth; the bits' trees do not touch, so one is held at a time."""
-    levels: dict[int, Level] = {}
-    for d in sorted(by_depth, reverse=True):
-        k, c = by_depth[d]
-        if len(k):
-            ids, a, b = _nodes(k, c, bit)
-            levels[d] = Level(ids, a, b, children_sum(levels[d + 1], ids, bit) if d + 1 in levels else None)
-    return levels
+class Subtree:
+    """The trees over some (context, byte) keys, from contexts of ``depth`` bytes up to ``top``.
 
+    Keys without counts are nodes too: a node that has seen nothing has weight one and
+    predicts one half, as an absent one does, and so every key finds its nodes by index.
+    """
 
-def log10_of(keys: np.ndarray, levels: dict[int, Level], bit: int, depth: int = DEPTH) -> np.ndarray:
-    """log10 of the mixed probability of one bit of each key's byte after its context."""
-    byte = keys & np.uint64(255)
-    p = np.full(len(keys), 0.5)
-    for d in sorted(levels, reverse=True):
-        ids = ((keys >> np.uint64(8 * (depth - d + 1))) << np.uint64(bit)) | (byte >> np.uint64(8 - bit))
-        i, seen = levels[d].at(ids)
-        p = np.where(seen, levels[d].stop[i] * levels[d].one[i] + (1 - levels[d].stop[i]) * p, 0.5)
-    return np.log10(np.where((byte >> np.uint64(7 - bit)) & np.uint64(1), p, 1 - p))
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH):
+        self.top, self.depth = top, depth
+        self.keys, self.counts = {depth: keys}, {depth: counts.astype(float)}
+        self.up: dict[int, np.ndarray] = {}  # place of each key of the depth below among this depth's
+        self.place = {depth: np.arange(len(keys), dtype=np.int32)}  # of each of the deepest keys
+        for d in range(depth - 1, top - 1, -1):
+            own = cut(self.keys[d + 1], d + 1, d)
+            order = np.argsort(own)
+            ranked = own[order]
+            new = np.r_[np.ones(min(len(own), 1), bool), ranked[1:] != ranked[:-1]]
+            self.up[d] = np.empty(len(own), np.int32)
+            self.up[d][order] = np.cumsum(new, dtype=np.int32) - 1
+            self.keys[d] = ranked[new]
+            self.counts[d] = np.bincount(self.up[d], weights=self.counts[d + 1], minlength=len(self.keys[d]))
+            self.place[d] = self.up[d][self.place[d + 1]]
+
+    def weigh(self, bit: int) -> tuple[dict[int, Level], dict[int, np.ndarray]]:
+        """The weighted trees of one bit by depth, and the node of each depth's keys; the bits' trees do not touch,
+        so one is held at a time."""
+        levels: dict[int, Level] = {}
+        nodes: dict[int, np.ndarray] = {}
+        first_below = None
+        for d in range(self.depth, self.top - 1, -1):
+            keys, counts = self.keys[d], self.counts[d]
+            if not len(keys):
+                continue
+            ids = keys >> np.uint64(8 - bit)
+            new = np.r_[True, ids[1:] != ids[:-1]]
+            first = np.flatnonzero(new)
+            nodes[d] = np.cumsum(new, dtype=np.int32) - 1
+            ones = np.where((keys >> np.uint64(7 - bit)) & np.uint64(1), counts, 0.0)
+            total, b = np.add.reduceat(counts, first), np.add.reduceat(ones, first)
+            below = None if first_below is None else np.bincount(nodes[d][self.up[d][first_below]], weights=levels[d + 1].log_w, minlength=len(first))
+            levels[d], first_below = Level(ids[first], total - b, b, below), first
+        return levels, nodes
+
+    def log10(self, bit: int, upper: dict[int, Level] | None = None) -> np.ndarray:
+        """log10 of the mixed probability of one bit of each key's byte after its context."""
+        levels, nodes = self.weigh(bit)
+        keys = self.keys[self.depth]
+        p = np.full(len(keys), 0.5)
+        for d in sorted(levels, reverse=True):
+            n = nodes[d][self.place[d]]
+            stop = levels[d].stop[n]
+            p = stop * levels[d].one[n] + (1 - stop) * p
+        highest = self.keys[self.top]
+        for d in sorted(upper or {}, reverse=True):  # few nodes: looked up for the few keys of the top
+            i, seen = upper[d].at(cut(highest, self.top, d) >> np.uint64(8 - bit))
+            stop, one = np.where(seen, upper[d].stop[i], 1.0), np.where(seen, upper[d].one[i], 0.5)
+            p = stop[self.place[self.top]] * one[self.place[self.top]] + (1 - stop[self.place[self.top]]) * p
+        return np.log10(np.where((keys >> np.uint64(7 - bit)) & np.uint64(1), p, 1 - p))
 
 
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -275,12 +291,12 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
     def subtree(got):
         parts = [bl.expand(data) for _, data in got[GRAM]]
         keys, counts = bl.summed([bl.numbers(p, "key") for p in parts], [bl.numbers(p, "n") for p in parts])
-        return depths(keys[counts > 0], counts[counts > 0], 2, depth)
+        return Subtree(keys, counts, 2, depth)
 
     def tops(table: pa.Table) -> pa.Table:
-        by_depth, out = subtree(bl.packed_rows(table)), []
+        tree, out = subtree(bl.packed_rows(table)), []
         for bit in range(8):
-            if (level := weigh(by_depth, bit).get(2)) is not None:
+            if (level := tree.weigh(bit)[0].get(2)) is not None:
                 ids, inverse = np.unique(parent(level.ids, bit), return_inverse=True)
                 out.append(pd.DataFrame({"bit": np.int32(bit), "id": ids.astype(np.int64)} | {n: np.bincount(inverse, weights=v) for n, v in (("a", level.a), ("b", level.b), ("below", level.log_w))}))
         empty = pd.DataFrame({"bit": pd.Series(dtype="int32"), "id": pd.Series(dtype="int64")} | {n: pd.Series(dtype="float64") for n in ("a", "b", "below")})
@@ -290,16 +306,13 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
     upper = upper_levels(sums.toPandas())  # at most 256 contexts times 255 decisions
 
     def evaluate(context, got):
-        by_depth = subtree(got)
-        asked = [(origin, bl.numbers(bl.expand(data), "key")) for origin, data in got[GRAM]]
-        every = np.concatenate([keys for _, keys in asked])
-        total = np.zeros(len(every))
+        tree = subtree(got)
+        total = np.zeros(len(tree.keys[depth]))
         for bit in range(8):
-            total += log10_of(every, weigh(by_depth, bit) | upper[bit], bit, depth)
-        at = 0
-        for origin, keys in asked:
-            yield SCORE, origin, context, bl.squeeze(v=total[at : at + len(keys)].astype(np.float32))
-            at += len(keys)
+            total += tree.log10(bit, upper[bit])
+        for origin, data in got[GRAM]:
+            asked = bl.numbers(bl.expand(data), "key")
+            yield SCORE, origin, context, bl.squeeze(v=total[np.searchsorted(tree.keys[depth], asked)].astype(np.float32))
 
     def answer(bucket, got):
         keys, counts = totals(got, GRAM)

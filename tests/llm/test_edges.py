@@ -295,24 +295,85 @@ def test_word_fingerprints():
 
 
 def test_context_trees_against_a_plain_one():
-    """Two symbols' worth of text, depth 1, by the definition."""
+    """Two symbols' worth of text, depth 2, by the definition."""
     text = [b"abab", b"aab"]
     keys, starts = ctw.grams(text, 2)
     assert starts.tolist() == [0, 5] and len(keys) == 9
     every, counts = np.unique(keys, return_counts=True)
-    by_depth = ctw.depths(every, counts, 0, 2)
+    tree = ctw.Subtree(every, counts, 0, 2)
     for bit in range(8):
-        levels = ctw.weigh(by_depth, bit)
+        levels, _ = tree.weigh(bit)
         for d in (0, 1):
             for n, ids in enumerate(levels[d].ids):
                 kids = [levels[d + 1].log_w[i] for i, c in enumerate(levels[d + 1].ids) if ctw.parent(np.array([c]), bit)[0] == ids]
                 kt = ctw.log_kt(np.array([levels[d].a[n]]), np.array([levels[d].b[n]]))[0]
                 assert levels[d].log_w[n] == pytest.approx(np.log(0.5 * np.exp(kt) + 0.5 * np.exp(sum(kids))))
-    # probabilities of all bytes after a context sum to one
+    # probabilities of all bytes after a context sum to one, those never seen included
     context = every[0] & ~np.uint64(255)
-    asked = context | np.arange(256, dtype=np.uint64)
-    total = sum(ctw.log10_of(asked, ctw.weigh(by_depth, bit), bit, 2) for bit in range(8))
-    assert (10.0**total).sum() == pytest.approx(1)
+    asked = np.unique(np.r_[every, context | np.arange(256, dtype=np.uint64)])
+    wide = ctw.Subtree(asked, np.where(np.isin(asked, every), counts[np.searchsorted(every, asked).clip(max=len(every) - 1)], 0), 0, 2)
+    total = sum(wide.log10(bit) for bit in range(8))
+    assert (10.0 ** total[(asked & ~np.uint64(255)) == context]).sum() == pytest.approx(1)
+
+
+def plain_ctw(train: list[bytes], texts: list[bytes], depth: int) -> list[float]:
+    """log10 probability of each text and its end: trees as dictionaries, every node by the definition."""
+    import math
+
+    edge, counts = 255, {}
+
+    def symbols(text):
+        padded = bytes([edge]) * depth + text + bytes([edge])
+        return [(padded[i - depth : i], padded[i]) for i in range(depth, len(padded))]
+
+    for text in train:
+        for context, byte in symbols(text):
+            for bit in range(8):
+                for d in range(depth + 1):
+                    node = counts.setdefault((context[depth - d :], bit, byte >> (8 - bit)), [0, 0])
+                    node[byte >> (7 - bit) & 1] += 1
+    kt = lambda n: sum(math.lgamma(c + 0.5) for c in n) - math.lgamma(sum(n) + 1) - math.log(math.pi)
+    children: dict = {}
+    for context, bit, prefix in counts:
+        if context:
+            children.setdefault((context[1:], bit, prefix), []).append((context, bit, prefix))
+    known: dict = {}
+
+    def weight(node):
+        if node not in known:
+            own = kt(counts[node])
+            rest = sum(map(weight, children.get(node, [])))
+            known[node] = own if len(node[0]) == depth else math.log(0.5 * math.exp(own) + 0.5 * math.exp(rest))
+        return known[node]
+
+    out = []
+    for text in texts:
+        total = 0.0
+        for context, byte in symbols(text):
+            for bit in range(8):
+                p = 0.5
+                for d in range(depth, -1, -1):
+                    node = (context[depth - d :], bit, byte >> (8 - bit))
+                    if node not in counts:
+                        p = 0.5
+                        continue
+                    a, b = counts[node]
+                    stop = 1.0 if d == depth else math.exp(math.log(0.5) + kt(counts[node]) - weight(node))
+                    p = stop * (b + 0.5) / (a + b + 1) + (1 - stop) * p
+                total += math.log10(p if byte >> (7 - bit) & 1 else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_scores_against_plain_trees(spark):
+    """Whole scores, over several blocks, of texts learned from and not."""
+    rng = random.Random(6)
+    words = ["the", "cat", "sat", "on", "a", "mat", "é", "zebra"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    rows = spark.createDataFrame([(i, t, i % 4 != 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    got = {r["doc_id"]: r["score"] for r in ctw.scored(rows, block_bytes=500).collect()}
+    want = plain_ctw([t.encode() for i, t in enumerate(texts) if i % 4], [t.encode() for t in texts], ctw.DEPTH)
+    assert [got[i] for i in range(40)] == pytest.approx(want, rel=1e-4)
 
 
 def test_kt():
