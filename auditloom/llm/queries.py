@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from auditloom.llm import sql
 from auditloom.llm.bpe import op8_bpe
 from auditloom.llm.ctw import op1_ctw
 from auditloom.llm.decontaminate import op6_decontamination
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_secrets": sql.secrets(), "op4_neardup": sql.near_copies(), "op9_repeats": sql.repeats()}
