@@ -128,10 +128,12 @@ def keep_rows(docs: DataFrame, begin: Callable[[], Callable[[list[str]], Sequenc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = begin()
-        for batch in by_bytes(batches):
-            yield batch.filter(pa.array(work([t or "" for t in batch.column("text").to_pylist()]), pa.bool_()))
+        for batch in by_bytes(batches, text):
+            yield batch.filter(pa.array(work([t or "" for t in batch.column(text).to_pylist()]), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    text = f"c{docs.columns.index('text')}"
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # columns may have names that need quotes
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -387,6 +387,26 @@ def test_grammar_composes():
     assert s.clause("i will kill you") > s.clause("i will kill time") and s.features("kind words only") == (0.0, 0.0, 0.0, 0.0)
 
 
+def test_grammar_in_four_languages():
+    s = toxicity.Scorer({})
+    said = {
+        "en": ("you idiot", "he is not an idiot", "she said idiot", "i will kill you", "i will kill time"),
+        "es": ("tú idiota", "nunca fue idiota", "ella dijo idiota", "voy a matar a usted", "voy a matar el tiempo"),
+        "de": ("dich trottel", "er ist kein trottel", "er sagte trottel", "ich werde dich töten", "ich werde zeit töten"),
+        "fr": ("vous imbécile", "jamais un imbécile", "a écrit imbécile", "je vais tuer ces gens", "je vais tuer le temps"),
+    }
+    for aimed, negated, reported, threat, idle in said.values():
+        assert s.clause(aimed) > s.clause(reported) > s.clause(negated) and s.clause(threat) > s.clause(idle)
+    assert s.features("¡hola! ¿idiota?")[0] > 0
+
+
+def test_toxicity_on_odd_rows(odd, none, spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (4, 0), (5, 0), (6, 1)], "doc_id long, toxic int")
+    fitted = toxicity.fit(odd, labels)  # doc_id 1 is there twice, 2 has no text
+    assert len(fitted.weights) == 5 and toxicity.score(odd, fitted).count() == len(ROWS)
+    assert toxicity.fit(none, labels).weights == toxicity.UNFITTED
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "that idiot spoke"), (2, "kind words")], SCHEMA)
     fitted = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -409,7 +429,72 @@ def test_ring_moves_little():
     total = sum(counts.values())
     sizes = np.bincount(list(a.values()))
     assert sizes.max() - sizes.min() <= 1 and len(a) == total
-    assert np.mean([a[k] != b[k] for k in a]) < 0.5
+    moved = [(a[k], b[k]) for k in a if a[k] != b[k]]
+    assert len(moved) / total < 0.12  # a 25th are the new shard's share
+
+
+def test_places_in_odd_texts(odd, spark):
+    bench = spark.createDataFrame([(1, "plain words in a row here"), (1, "plain words in a row here"), (2, ""), (3, "日本語"), (4, "zzz " * 60)], "item_id long, text string")
+    got = decontaminate.matches(odd, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"], r["start"], r["distance"]) for r in got if r["item_id"] == 1) == [(1, 1, 0, 0)] * 4
+    assert sorted((r["start"], r["end"]) for r in got if r["item_id"] == 3) == [(6 + i * 10, 9 + i * 10) for i in range(5)]
+    one = decontaminate.Matcher([(7, "the quick brown fox jumps over it")])
+    page = "x the quick brwn fox jumps over it y the quick brown foxx jumps over it z"
+    assert [(page[a:b], d) for _, a, b, d in one.find(page)] == [("the quick brwn fox jumps over it", 1), ("the quick brown foxx jumps over it", 1)]
+
+
+def test_described_on_odd_rows(odd, spark):
+    got = telephony.described(telephony.stored(odd)).collect()
+    assert len(got) == len(ROWS) and all(r["payload_bytes"] % 192 == 0 and r["pcm_bytes"] > 0 for r in got)
+    broken = spark.createDataFrame([(1, 3, None), (2, 3, bytearray(b"RIFFjunk"))], "doc_id long, n_bytes long, media binary")
+    assert all(r["feature"] is None and r["payload_sha256"] is None for r in telephony.described(broken).collect())
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from auditloom.llm.common import by_bytes
+
+    texts = ["a" * n for n in (10, 0, 90, 5, 300, 1, 1, 98, 2)] + [None]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "n": list(range(10))})
+    parts = list(by_bytes(iter([batch.slice(0, 4), batch.slice(4, 0), batch.slice(4)]), most=100))
+    assert [x for p in parts for x in p.column("n").to_pylist()] == list(range(10))
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= 100 for p in parts) and len(parts) == 5
+
+
+def test_repeats_of_rows_without_id(spark):
+    """Rows without doc_id come last, over several blocks, and do not repeat each other; one doc_id may have several texts."""
+    a, b, c = ("".join(random.Random(i).choice("abcdefgh ") for _ in range(400)) for i in range(3))
+    rows = spark.createDataFrame([(None, a), (None, a), (None, b), (1, b), (2, c), (2, b + c), (3, c)], SCHEMA)
+    got = sorted((r["doc_id"] or 99, r["n_bytes"], r["n_removed"]) for r in repeats.find_repeats(rows, block_bytes=300).collect())
+    assert got == [(1, 400, 0), (2, 400, 0), (2, 800, 400), (3, 400, 400), (99, 400, 0), (99, 400, 0), (99, 400, 400)]
+
+
+def test_tables_are_released(spark):
+    import os
+
+    from auditloom.llm.common import materialize, release, tables
+
+    first = materialize(spark.range(3).toDF("v"))
+    folder = tables(spark).replace("file://", "")
+    before = set(os.listdir(folder))
+    second = materialize(first.select((F.col("v") + 1).alias("v")), replaces=first)
+    assert second.count() == 3 and len(set(os.listdir(folder)) - before) == 1 and len(before - set(os.listdir(folder))) == 1
+    release(spark)
+    assert not os.path.exists(folder)
+
+
+def test_pipeline_on_odd_tables(spark, sf, tmp_path):
+    import corpus_pipeline as cp
+
+    for table in ("labels", "benchmark"):
+        (tmp_path / f"{table}.parquet").symlink_to(f"{sf}/{table}.parquet")
+    docs = spark.createDataFrame(ROWS, SCHEMA).withColumn("n_chars", F.length("text")).withColumn("_", F.lit("x")).withColumn("a.b", F.lit(None).cast("string"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(r["doc_id"] or 0 for r in cp.run(spark, str(tmp_path)).collect())
+    assert got == [0, 0, 1, 1, 2, 3, 4, 6, 1 << 60]  # 5 is a near copy of 4
+    docs.limit(0).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
 
 
 def test_scratch_is_the_named_folder(spark):
