@@ -155,7 +155,7 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     keys = nodes.select("node", F.explode("bands").alias("key"))
     centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("c")).where("c > 1").select("key", "centre")
     candidates = materialize(keys.join(centres, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
-    clusters = materialize(components(candidates).withColumnRenamed("label", "cluster"))
+    clusters = materialize(_parted(components(candidates).withColumnRenamed("label", "cluster")))
     named = nodes.select("node", "named").join(clusters, "node")
     needed = materialize(named.select(F.col("named").alias("wanted")).distinct())
     if needed.count() <= BROADCAST_IDS:
@@ -172,16 +172,29 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _parted(clusters: DataFrame) -> DataFrame:
+    """``node, cluster, parts, part``: large clusters in parts of about BLOCK_NODES nodes, so that no task has to meet all of one."""
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("parts"))
+    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = clusters.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["cluster", "salt"]).select("node", "cluster", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+
+
+def _each_part(df: DataFrame) -> DataFrame:
+    """Rows of a cluster once for each of its parts."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
 def _links(candidates: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Edges ``a, b`` between similar sets of ``node, items, cluster``, such that all similar sets are connected."""
+    """Edges ``a, b`` between similar sets of ``node, items, cluster, parts, part``, such that all similar sets are connected."""
     degree = candidates.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("degree"))
-    picked = sets.select("node", "cluster").join(degree, "node", "left").groupBy("cluster").agg(F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("centre"))
-    centres = sets.select(F.col("node").alias("centre"), F.col("items").alias("own")).join(picked, "centre")
+    picked = sets.select("node", "cluster", "parts").join(degree, "node", "left").groupBy("cluster").agg(F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("centre"), F.max("parts").alias("parts"))
+    centres = _each_part(sets.select(F.col("node").alias("centre"), F.col("items").alias("own")).join(picked, "centre"))
     both = F.size(F.array_intersect("items", "own"))
     core = both * 100 >= (F.size("items") + F.size("own") - both) * similarity
-    starred = materialize(sets.join(centres, "cluster").select("cluster", "node", "centre", core.alias("core")))
-    sizes = starred.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("nb"), F.ceil(F.sum((~F.col("core")).cast("int")) / BLOCK_NODES).cast("int").alias("nq")).where("nq > 0")
-    rows = sets.join(starred.select("node", "core"), "node").join(sizes, "cluster").withColumn("h", F.xxhash64("node"))
+    starred = materialize(sets.join(centres, ["cluster", "part"]).select("cluster", "parts", "node", "centre", core.alias("core")))
+    sizes = starred.groupBy("cluster").agg(F.max("parts").alias("parts"), F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("nb"), F.ceil(F.sum((~F.col("core")).cast("int")) / BLOCK_NODES).cast("int").alias("nq")).where("nq > 0")
+    rows = sets.join(starred.select("node", "core"), "node").join(_each_part(sizes), ["cluster", "part"]).withColumn("h", F.xxhash64("node"))
     members = rows.select("cluster", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.pmod("h", "nb").cast("int").alias("mb"), F.lit(False).alias("query"), "node", "core", "items")
     queries = rows.where("not core").select("cluster", F.pmod("h", "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("mb"), F.lit(True).alias("query"), "node", "core", "items")
 
