@@ -3,39 +3,121 @@
 from __future__ import annotations
 
 import itertools
-from re import _constants as c
-from re import _parser as parser
 
 #: Alternatives beyond which a stretch of a pattern is read as unknown text.
 MOST_BRANCHES = 32
 MOST_CLASS = 8
 
+#: The set of texts that a part of a pattern may be, or None where it may be anything.
+Part = set[str] | None
 
-def _pieces(tree) -> list[set[str] | None]:
-    """Consecutive parts of a pattern: the set of texts a part may be, or None where it may be anything."""
-    out: list[set[str] | None] = []
-    for op, arg in tree:
-        if op is c.LITERAL:
-            out.append({chr(arg)})
-        elif op is c.IN and len(arg) <= MOST_CLASS and all(k is c.LITERAL for k, _ in arg):
-            out.append({chr(v) for _, v in arg})
-        elif op is c.SUBPATTERN:
-            out.extend(_pieces(arg[3]))
-        elif op is c.BRANCH:
-            options: set[str] | None = set()
-            for branch in arg[1]:
-                texts = _product(_pieces(branch))
-                options = None if options is None or texts is None else options | texts
-            out.append(options)
-        elif op is c.MAX_REPEAT and arg[0] == 0 and arg[1] == 1 and (inner := _product(_pieces(arg[2]))) is not None:
-            out.append(inner | {""})
-        elif op is c.MAX_REPEAT and arg[0] == arg[1] and arg[0] <= 8 and (inner := _product(_pieces(list(arg[2]) * arg[0]))) is not None:
-            out.append(inner)
-        elif op is c.AT:
-            continue
+
+class _Reader:
+    """Reads a pattern of literals, classes, groups, alternatives and repeats into consecutive parts.
+
+    Anything else that a pattern may hold (look-around, references) is a ValueError.
+    """
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+
+    def whole(self) -> list[Part]:
+        parts = self.alternatives()
+        if self.at < len(self.pattern):
+            raise ValueError(f"unbalanced pattern: {self.pattern}")
+        return parts
+
+    def take(self, text: str) -> bool:
+        if self.pattern.startswith(text, self.at):
+            self.at += len(text)
+            return True
+        return False
+
+    def alternatives(self) -> list[Part]:
+        options = [self.sequence()]
+        while self.take("|"):
+            options.append(self.sequence())
+        if len(options) == 1:
+            return options[0]
+        texts = [_product(o) for o in options]
+        return [None if None in texts else set().union(*texts)]
+
+    def sequence(self) -> list[Part]:
+        out: list[Part] = []
+        while self.at < len(self.pattern) and self.pattern[self.at] not in "|)":
+            out += self.repeated(self.atom())
+        return out
+
+    def atom(self) -> list[Part]:
+        if self.take("("):
+            if self.take("?") and not (self.take(":") or self.take("i:")):
+                raise ValueError(f"cannot read this group of {self.pattern}")
+            inside = self.alternatives()
+            if not self.take(")"):
+                raise ValueError(f"unbalanced pattern: {self.pattern}")
+            return inside
+        if self.take("["):
+            return [self.members()]
+        ch = self.pattern[self.at]
+        if ch == "\\":
+            return [self.escaped()]
+        self.at += 1
+        return [] if ch in "^$" else [None if ch == "." else {ch}]
+
+    def escaped(self) -> Part:
+        kind = self.pattern[self.at + 1]
+        self.at += 2
+        if kind == "x":
+            self.at += 2
+            return {chr(int(self.pattern[self.at - 2 : self.at], 16))}
+        if kind.isalnum():
+            if kind not in "tnrfvdDwWsSbB":
+                raise ValueError(f"cannot read \\{kind} of {self.pattern}")
+            return {"t": {"\t"}, "n": {"\n"}, "r": {"\r"}, "f": {"\f"}, "v": {"\v"}, "b": {""}, "B": {""}}.get(kind)
+        return {kind}
+
+    def members(self) -> Part:
+        """Members of a class, None where it is large, a range or negated."""
+        out: Part = None if self.take("^") else set()
+        first = True
+        while first or not self.take("]"):
+            first = False
+            if self.pattern[self.at] == "\\":
+                one = self.escaped()
+            else:
+                one = {self.pattern[self.at]}
+                self.at += 1
+            if self.pattern[self.at] == "-" and self.pattern[self.at + 1] != "]":  # a range
+                self.at += 1
+                if self.pattern[self.at] == "\\":
+                    self.escaped()
+                else:
+                    self.at += 1
+                one = None
+            out = None if out is None or one is None else out | one
+        return out if out is not None and len(out) <= MOST_CLASS else None
+
+    def repeated(self, parts: list[Part]) -> list[Part]:
+        least, most = 1, 1
+        if self.take("?"):
+            least = 0
+        elif self.take("*") or self.take("+"):
+            least, most = int(self.pattern[self.at - 1] == "+"), -1
+        elif self.take("{"):
+            end = self.pattern.index("}", self.at)
+            low, comma, high = self.pattern[self.at : end].partition(",")
+            least, most = int(low or 0), int(high) if high else -1 if comma else int(low)
+            self.at = end + 1
         else:
-            out.append(None)
-    return out
+            return parts
+        if not self.take("?"):  # lazy or possessive repeats match the same kind of text
+            self.take("+")
+        inner = _product(parts)
+        if inner is not None and (least, most) == (0, 1):
+            return [inner | {""}]
+        if inner is not None and least == most <= 8:
+            return [_product([inner] * least)]
+        return [None]
 
 
 def _product(parts: list[set[str] | None]) -> set[str] | None:
@@ -55,7 +137,7 @@ def derive(pattern: str) -> list[frozenset[str]]:
     with a text of fewer than three characters demands nothing.
     """
     runs: list[list[set[str]]] = [[]]
-    for part in _pieces(parser.parse(pattern)):
+    for part in _Reader(pattern).whole():
         if part is None or len(_product([*runs[-1], part]) or ()) == 0:
             runs.append([])
         if part is not None:

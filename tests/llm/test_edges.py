@@ -90,6 +90,10 @@ def test_trigram_queries_are_mandatory():
         query = trigrams.derive(rule.pattern)
         assert bool(query) == (rule.kind != "hex")
     assert trigrams.derive("a[bc]?d+") == [] and trigrams.derive("secret") == [frozenset(["sec", "ecr", "cre", "ret"])]
+    assert trigrams.derive("x[^a]bcd(?:efg|[hi]jk)+") == [frozenset(["bcd"])] and trigrams.derive(r"\x41b\.c{3}") == [frozenset(["ab.", "b.c", ".cc", "ccc"])]
+    for broken in ("a(?=b)cde", "(abc", r"abc\1"):
+        with pytest.raises(ValueError):
+            trigrams.derive(broken)
     assert trigrams.satisfied("an API_KEY = x", trigrams.derive(secrets.RULES[0].pattern)) and not trigrams.satisfied("nothing", trigrams.derive(secrets.RULES[0].pattern))
     import re
 
