@@ -224,3 +224,8 @@ def signal_tables(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def suite(registry_: DataFrame, most_features: int = 500, most_rows: int = 10_000, task: str = "classification") -> DataFrame:
     """Datasets of a benchmark suite that are small enough to evaluate on."""
     return registry_.where((F.col("task_type") == task) & (F.col("n_features") <= most_features) & (F.col("n_rows") <= most_rows))
+
+
+def suite_instances(registry_: DataFrame, folds: DataFrame, fold: int = 0, **limits) -> DataFrame:
+    """Rows of ``folds`` (``dataset_id, fold, row_id, split``) of one fold of a suite's datasets."""
+    return folds.where(F.col("fold") == fold).join(suite(registry_, **limits).select("dataset_id").distinct(), "dataset_id", "left_semi")

@@ -197,3 +197,29 @@ def test_report_tables(spark, tmp_path):
     ranks = spark.createDataFrame([("ctx_loss_slope", 0.5, 0.25, 1), ("other", 0.1, 0.0, 2)], "signal string, target_importance double, blind_importance double, target_rank int")
     assert tables.contribution_table(ranks, 1).endswith("| RowSampling_CELoss_Slope | M4 | S5 | R2 | 0.5000 | 0.2500 |")
     assert r"\_" in tables.contribution_table(ranks, 2, latex=True)
+
+
+def test_suite_instances(spark):
+    known = spark.createDataFrame([(1, "classification", 5, 100), (2, "classification", 900, 100), (3, "regression", 5, 100)], "dataset_id int, task_type string, n_features int, n_rows int")
+    folds = spark.createDataFrame([(d, f, 0, "train") for d in (1, 2, 3) for f in (0, 1)], "dataset_id int, fold int, row_id int, split string")
+    assert [tuple(r) for r in readers.suite_instances(known, folds).collect()] == [(1, 0, 0, "train")]
+
+
+def test_command_line(spark, tmp_path):
+    from auditloom import cli
+
+    call = lambda *argv: cli.run(spark, cli._parser().parse_args([str(a) for a in argv]))
+    call("prior", "--out", tmp_path / "dump", "--tables", 3, "--rows", 10, "--features", 2, "--pad-rows", 12, "--prior", "steps")
+    assert spark.read.parquet(str(tmp_path / "dump")).count() == 36
+    draw = lambda *key: float(np.random.default_rng(key).normal())
+    names = ("base_loss", "base_entropy", "ctx_loss_slope", "ctx_loss_auc")
+    for side, lift in (("target", 2.0), ("blind", 0.0)):
+        rows = [(i, i % 2, *(draw(i, j, int(lift)) + lift * (i % 2) * (j == 0) for j in range(4))) for i in range(80)]
+        spark.createDataFrame(rows, "dataset_id long, label int, " + ", ".join(f"{n} double" for n in names)).write.parquet(str(tmp_path / side))
+    pool = ("--target", tmp_path / "target", "--blind", tmp_path / "blind")
+    text = call("internal", *pool, "--scopes", "ALL", "no:ctx", "--kinds", "lr", "--replicates", 20, "--out", tmp_path / "i")
+    assert "| no:ctx | lr |" in text and "| ALL | lr |" in text
+    cell = json.loads(spark.read.text(str(tmp_path / "i")).first()["value"])["pool"]["cells"]["ALL"]["lr"]
+    assert cell["target"] > 0.8 > cell["blind"] and cell["n_cols"] == 4
+    text = call("external", *pool, "--draws", 2, "--trees", 20, "--out", tmp_path / "e")
+    assert "| ctx noscreen |" in text and spark.read.json(str(tmp_path / "e")).count() >= 3
