@@ -83,7 +83,8 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 40, lo
     """``bin, share`` per group over the percentiles of all groups together; values outside go to the end bins."""
     v = F.log10(F.greatest(F.col(value), F.lit(1e-4))) if log else F.col(value)
     rows = df.where(F.col(value).isNotNull()).withColumn("_v", v)
-    span = rows.agg(F.percentile("_v", low).alias("lo"), F.percentile("_v", high).alias("hi"))
+    values = rows.groupBy("_v").agg(F.count("*").alias("_c"))  # a value is one row, whatever its count
+    span = values.agg(F.percentile("_v", low, F.col("_c")).alias("lo"), F.percentile("_v", high, F.col("_c")).alias("hi"))
     placed = rows.join(F.broadcast(span)).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(0)))).cast("int"))  # one row of limits
     counts = placed.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
     totals = counts.groupBy(*keys).agg(F.sum("c").alias("_n"))
