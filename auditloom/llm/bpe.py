@@ -37,7 +37,9 @@ LEAF = 8
 KEPT_BYTES = 16
 #: Encodings of pieces that a worker process keeps, in each of two generations (some 300 bytes each), and
 #: encodings of stretches and stable pairs.
-CACHE_PIECES, CACHE = 500_000, 200_000
+CACHE_PIECES, CACHE = 200_000, 60_000
+#: Bytes of text whose pieces are held at once.
+PART = 2 << 20
 #: Pieces of at most so many characters are kept.
 KEPT_PIECE = 64
 
@@ -270,7 +272,7 @@ def digester(path: str, pattern: str) -> Digester:
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; null and empty texts have no tokens."""
-    return map_texts(docs, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, lambda: digester(path, pattern))
+    return map_texts(docs, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, lambda: digester(path, pattern), part=PART)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker holds at once; a longer text is a part by itself.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 _OWN_SCRATCH: list[str] = []
 #: Where the tables that ``materialize`` gave lie.
@@ -106,7 +106,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def map_texts(docs: DataFrame, fields: dict[str, str], begin: Callable[[], Callable[[list[str]], Sequence]], types: dict[str, pa.DataType] | None = None) -> DataFrame:
+def map_texts(docs: DataFrame, fields: dict[str, str], begin: Callable[[], Callable[[list[str]], Sequence]], types: dict[str, pa.DataType] | None = None, part: int = PART_BYTES) -> DataFrame:
     """``doc_id`` and ``fields`` (name: type) for every row of ``doc_id, text``.
 
     ``begin`` runs once per task and gives the function from a batch's texts to
@@ -116,7 +116,7 @@ def map_texts(docs: DataFrame, fields: dict[str, str], begin: Callable[[], Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = begin()
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, most=part):
             columns = work(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", *fields])
 
