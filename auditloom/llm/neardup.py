@@ -35,6 +35,8 @@ BINS = BANDS * ROWS
 SIMILARITY = 75  # per cent
 #: Ids that are broadcast at most (8 bytes each); beyond that the join shuffles.
 BROADCAST_IDS = 500_000
+#: Text whose words are named at once: some 60 bytes of numbers a byte, in arrays small enough to be used again.
+PART_BYTES = 1 << 20
 #: Nodes of a cluster that one task looks up, and those it looks them up among.
 BLOCK_NODES = 1000
 
@@ -84,7 +86,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, set_id, bands`` of each row; set_id is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, most=PART_BYTES):
             sizes, ids, keys = [], [], []
             for s in sets_of(batch.column("text")):
                 sizes.append(len(s))
@@ -99,7 +101,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """``node, items``: the whole set of each row's text, under the set's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, most=PART_BYTES):
             sets = [s for s in sets_of(batch.column("text")) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.binary()), _longs(sets)], names=["node", "items"])
 
