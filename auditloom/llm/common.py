@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one Arrow batch: what the JVM holds for a Python worker at once.
+BATCH_ROWS = 512
 #: Bytes of text that a worker holds at once; a longer text is a part by itself.
 PART_BYTES = 4 << 20
 
@@ -72,8 +74,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tune(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, for plans made from here on in this session; a number that the session
+    was given stays. Spark has no setting for a single query, and its own default of 10,000 rows of text is
+    what an executor's memory is short of."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def docs_of(df: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text`` with null read as empty."""
+    tune(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -131,6 +143,7 @@ def keep_rows(docs: DataFrame, begin: Callable[[], Callable[[list[str]], Sequenc
         for batch in by_bytes(batches, text):
             yield batch.filter(pa.array(work([t or "" for t in batch.column(text).to_pylist()]), pa.bool_()))
 
+    tune(docs.sparkSession)
     text = f"c{docs.columns.index('text')}"
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # columns may have names that need quotes
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import by_bytes, map_texts, materialize, read
+from auditloom.llm.common import by_bytes, map_texts, materialize, read, tune
 
 BLOCK = 192  # bytes of an ADPCM block, and the unit payloads are padded to
 RATE = 8000
@@ -143,6 +143,7 @@ def resampled(media: DataFrame) -> DataFrame:
             out = [wav(samples(x), "pcm", 2 * p[1]) if p else None for x, p in zip(_expanded(parsed), parsed, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "pcm_wav"])
 
+    tune(media.sparkSession)
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, "doc_id long, pcm_wav binary")
 
 
@@ -218,6 +219,7 @@ def described(media: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), DESCRIBED[2:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in DESCRIBED])
 
+    tune(media.sparkSession)
     schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in DESCRIBED)
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), F.col("media").cast("binary").alias("media")).mapInArrow(run, schema)
 
