@@ -170,7 +170,9 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     labels = components(links.unionAll(same_id))
     grouped = sig.select("doc_id", "n_shingles", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = grouped.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = grouped.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = grouped.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = salted.join(spread, ["label", "salt"], "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
