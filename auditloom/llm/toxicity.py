@@ -251,8 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     words, so a text that was copied often does not teach its own words.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
-    # at most train_rows pairs of numbers; of several rows of one doc_id the least text counts
-    rows = docs_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = docs_of(docs).join(F.broadcast(chosen), "doc_id")  # at most train_rows pairs of numbers
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0))
     # near copies mostly share their long word of least hash, so that a copied document does not teach its own words
     trace = F.array_min(F.transform(F.filter("found", lambda w: F.length(w) >= 9), lambda w: F.xxhash64(w)))
@@ -282,10 +281,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         scorer = Scorer(learned)
         for pdf in batches:
             out = pd.DataFrame([scorer.features(t) for t in pdf["text"]], columns=["a", "b", "c", "d"])
-            out["toxic"] = pdf["toxic"].values
+            out["doc_id"], out["toxic"] = pdf["doc_id"].values, pdf["toxic"].values
             yield out
 
-    table = rows.mapInPandas(run, "a double, b double, c double, d double, toxic int").toPandas()  # numbers of at most train_rows documents
+    found_ = rows.mapInPandas(run, "a double, b double, c double, d double, doc_id long, toxic int")
+    # of several rows of one doc_id the least features count; numbers of at most train_rows documents
+    table = found_.groupBy("doc_id", "toxic").agg(F.min(F.struct("a", "b", "c", "d")).alias("x")).select("x.*", "toxic", "doc_id").orderBy("doc_id", "toxic").toPandas()
     return Model(learned, tuple(fit_logistic(table[["a", "b", "c", "d"]].to_numpy(), table["toxic"].to_numpy(float)).tolist()))
 
 
