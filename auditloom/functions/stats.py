@@ -63,6 +63,15 @@ def average_rank(partition: Sequence[str | Column], value: str | Column) -> Colu
     return F.rank().over(Window.partitionBy(*partition).orderBy(v)) + (F.count("*").over(Window.partitionBy(*partition, v)) - 1) / 2.0
 
 
+def ordered_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Means of ``values``, added up in order of rows: the same to the last bit however rows are dealt, so groups of
+    the same values in the same order tie."""
+    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = df.select(*keys, F.struct(*order).alias("_at"), *[part for v in values for part in (F.sum(v).over(run).alias(f"s_{v}"), F.count(v).over(run).alias(f"n_{v}"))])
+    last = sums.groupBy(*keys).agg(F.max_by(F.struct(*[n for v in values for n in (f"s_{v}", f"n_{v}")]), "_at").alias("last"))
+    return last.select(*keys, *[F.try_divide(F.col("last")[f"s_{v}"], F.col("last")[f"n_{v}"]).alias(v) for v in values])
+
+
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, average_rank(keys, a).alias("ra"), average_rank(keys, b).alias("rb"))
     return ranked.groupBy(*keys).agg(F.corr("ra", "rb").alias("spearman"))
