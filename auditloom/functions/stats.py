@@ -6,6 +6,7 @@ scores within a key and never over a whole table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +64,46 @@ def average_rank(partition: Sequence[str | Column], value: str | Column) -> Colu
     return F.rank().over(Window.partitionBy(*partition).orderBy(v)) + (F.count("*").over(Window.partitionBy(*partition, v)) - 1) / 2.0
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], bins: int = 4096) -> list[float | None]:
+    """Exact quantiles of a whole column, linear between neighbours, as numbers; nulls do not count.
+
+    The ranges that hold the wanted places are cut into ``bins`` until each holds one value, so no task holds the
+    column's distinct values; only counts of bins reach the driver.
+    """
+    v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).persist()  # read once per cut
+    try:
+        n, lo, hi = v.agg(F.count("v"), F.min("v"), F.max("v")).first()
+        if not n:
+            return [None] * len(shares)
+        if not (abs(lo) < 1e300 and abs(hi) < 1e300):  # infinite or not a number: no ranges to cut
+            return v.agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares])).alias("e")).first()["e"]
+        places = [s * (n - 1) for s in shares]
+        found: dict[int, float] = {}
+        open_ = [(lo, hi, 0, sorted({k for p in places for k in (math.floor(p), math.ceil(p))}))]
+        while open_:
+            for low, high, _, ranks in open_:
+                if low == high:
+                    found |= dict.fromkeys(ranks, low)
+            open_ = [c for c in open_ if c[0] < c[1]]
+            if not open_:
+                break
+            inside = lambda c: F.col("v").between(c[0], c[1])
+            within = [F.when(inside(c), F.struct(F.lit(i).alias("cell"), F.least(F.floor((F.col("v") - c[0]) / (c[1] - c[0]) * bins), F.lit(bins - 1)).alias("bin"))) for i, c in enumerate(open_)]
+            counts = v.select("v", F.coalesce(*within).alias("c")).where("c is not null").groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("lo").collect()  # as many rows as bins
+            cut = []
+            for i, (_, _, below, ranks) in enumerate(open_):
+                for r in (r for r in counts if r["c"]["cell"] == i):
+                    here = [k for k in ranks if below <= k < below + r["n"]]
+                    if here:
+                        cut.append((r["lo"], r["hi"], below, here))
+                    below += r["n"]
+            open_ = cut
+        low = [(found[math.floor(p)], found[math.ceil(p)], p - math.floor(p)) for p in places]
+        return [a if t == 0 else (1 - t) * a + t * b for a, b, t in low]
+    finally:
+        v.unpersist()
+
+
 def ordered_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Means of ``values``, added up in order of rows: the same to the last bit however rows are dealt, so groups of
     the same values in the same order tie."""

@@ -55,3 +55,13 @@ def test_kde_divergence_holds_no_grid_of_rows(spark, monkeypatch):
     assert set(got) == set(want) == {1, 2} and all(abs(got[g] - want[g]) < 1e-12 for g in got)
 
 
+def test_quantiles_cut_ranges(spark):
+    values = np.r_[np.random.default_rng(3).normal(size=900), [7.5] * 300, 1e9, -1e9]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    shares = [i / 10 for i in range(11)]
+    got = stats.quantiles(df, "v", shares, bins=8)
+    want = df.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("e")).first()["e"]
+    assert np.allclose(got, want, rtol=1e-14, atol=0)
+    assert stats.quantiles(df.where("v is null"), "v", [0.5]) == [None]
+
+
