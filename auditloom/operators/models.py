@@ -30,15 +30,70 @@ def probability(beta: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30)))
 
 
-def leave_one_out(x: np.ndarray, y: np.ndarray, c: float = 1.0, balanced: bool = False) -> np.ndarray:
-    """Held-out probability of each row, one fit at a time, so memory stays linear in rows."""
-    out = np.empty(len(y))
-    for i in range(len(y)):
+def leave_one_out(x: np.ndarray, y: np.ndarray, c: float = 1.0, balanced: bool = False, tolerance: float = 1e-9) -> np.ndarray:
+    """Held-out probability of each row. Where a bound proves that the fit without a row follows from the fit on all
+    rows to within ``tolerance`` of its logit, it is taken from there, else the row is fitted anew; memory stays
+    linear in rows, and so does time on large tables."""
+    out, done = _left_out(x, y, c, balanced, tolerance)
+    for i in np.flatnonzero(~done):
         keep = np.arange(len(y)) != i
         out[i] = probability(logistic(x[keep], y[keep], c, balanced), x[i : i + 1])[0]
     return out
 
 
+def _left_out(x: np.ndarray, y: np.ndarray, c: float, balanced: bool, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Held-out probabilities, and which of them are within the tolerance.
+
+    The gradient over all rows is expanded to third order about its own optimum, in coordinates in which its Hessian is
+    the identity; the row's own part is exact. The fourth derivative of a row's loss's gradient is 1/8 at most, which
+    bounds what the expansion leaves out.
+    """
+    out, done = np.full(len(y), np.nan), np.zeros(len(y), bool)
+    a = np.column_stack([np.ones(len(x)), x])
+    penalty = np.diag([1e-9, *[1 / c] * x.shape[1]])
+    for label in (0, 1):
+        held, n, ones = np.flatnonzero((y == 1) == label), len(y) - 1, int((y == 1).sum()) - label
+        if not len(held) or not 0 < ones < n:
+            continue
+        w = np.where(y == 1, n / (2 * ones), n / (2 * (n - ones))) if balanced else np.ones(len(y))
+        beta = logistic(x, y, c, weight=w)
+        m = a @ beta
+        if not np.abs(m).max() < 29:  # logits are clipped at 30
+            continue
+        p = 1 / (1 + np.exp(-m))
+        v = p * (1 - p)
+        try:
+            root = np.linalg.cholesky((a * (w * v)[:, None]).T @ a + penalty)
+        except np.linalg.LinAlgError:
+            continue
+        b = np.linalg.solve(root, a.T).T
+        off = b.T @ (w * (p - y)) + np.linalg.solve(root, penalty @ beta)
+        d = b.shape[1]
+        squares = (b[:, :, None] * b[:, None, :]).reshape(len(b), d * d)
+        third = (squares.T @ (b * (w * v * (1 - 2 * p))[:, None])).reshape(d, d, d)
+        fourth = (squares.T @ (squares * (w * v * (1 - 6 * p + 6 * p * p))[:, None])).reshape(d, d, d, d)
+        size = np.sqrt((b * b).sum(1))
+        rest = (w * size**5).sum() / (24 * 8)
+        for at in range(0, len(held), 4096):
+            rows = held[at : at + 4096]
+            own, step = b[rows], np.zeros((len(rows), d))
+            for _ in range(12):
+                q = 1 / (1 + np.exp(-(m[rows] + (own * step).sum(1))))
+                cubic = np.einsum("abcd,nc,nd->nab", fourth, step, step, optimize=True)
+                square = np.einsum("abc,nc->nab", third, step)
+                miss = step + off + ((square / 2 + cubic / 6) @ step[:, :, None])[:, :, 0] - (w[rows] * (q - y[rows]))[:, None] * own
+                slope = np.eye(d) + square + cubic / 2 - (w[rows] * q * (1 - q))[:, None, None] * own[:, :, None] * own[:, None, :]
+                step = step - np.linalg.solve(slope, miss[:, :, None])[:, :, 0]
+                if not np.abs(miss).max() > 1e-12:
+                    break
+            length = np.sqrt((step * step).sum(1))
+            # a slope of over 1/2 along the way from the root of the expansion to the true one turns a miss into twice as much
+            firm = (w[rows] * size[rows] ** 2 / 4 < 0.25) & (length * size.max() < 0.2)
+            out[rows] = 1 / (1 + np.exp(-(m[rows] + (own * step).sum(1))))
+            done[rows] = firm & (2 * (rest * length**4 + np.abs(miss).max(1) * d) * size[rows] < tolerance)
+    return out, done
+
+
 def rank_auc(score: np.ndarray, y: np.ndarray) -> float:
     """AUC with ties at half; nan for one class."""
     n1, n0 = int((y == 1).sum()), int((y != 1).sum())

@@ -65,3 +65,16 @@ def test_quantiles_cut_ranges(spark):
     assert stats.quantiles(df.where("v is null"), "v", [0.5]) == [None]
 
 
+def test_leave_one_out_of_many_rows_needs_few_fits(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20000, 3))
+    y = (rng.random(20000) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
+    fits, logistic = [], models.logistic
+    monkeypatch.setattr(models, "logistic", lambda *a, **more: fits.append(1) or logistic(*a, **more))
+    for balanced in (False, True):
+        got = models.leave_one_out(x, y, balanced=balanced)
+        assert len(fits) < 200
+        for i in (0, 1, 77, int(np.abs(x).sum(1).argmax())):
+            keep = np.arange(20000) != i
+            assert abs(got[i] - models.probability(logistic(x[keep], y[keep], 1.0, balanced), x[i : i + 1])[0]) < 1e-10
+        fits.clear()
