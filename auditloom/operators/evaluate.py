@@ -72,38 +72,80 @@ def baseline(table: DataFrame, label: str, names: Sequence[str] = MINIMAL, seeds
     return reduce(lambda a, b: a.join(b, "seed"), parts)
 
 
+#: Rows that one task of ``leave_one_out`` holds out in turn.
+HELD_ROWS = 1 << 10
+
+
 def leave_one_out(results: DataFrame, keys: Sequence[str], row: str, label: str, late_gain: str, early: str, anew: bool = True) -> DataFrame:
     """``y, score`` of every row by leave-one-out logistic regression on three features: normalised rank of
     ``late_gain``, whether it is over its 90th percentile, and ``early``. Rows that lack either are left out.
 
     With ``anew`` rank and percentile come from the rows that are not held out; the row held out gets the mean
-    rank of those at or below its own. Each group of ``keys`` (a model) is a table of one row per dataset.
+    rank of those at or below its own. Each group of ``keys`` (a model) is a table of one row per dataset; its
+    rows are held out ``HELD_ROWS`` at a time, each part a task that has the table.
     """
     kinds = dict(results.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row)
+        part, parts = int(pdf["_part"].iloc[0]), int(pdf["_parts"].iloc[0])
+        pdf = pdf.sort_values([late_gain, row])  # ranks, limits and the rows below a row are places in this order
         y, late, rest = pdf[label].to_numpy().astype(int), pdf[late_gain].to_numpy(float), pdf[early].to_numpy(float)
-        n = len(y)
-        every = pd.Series(late).rank().to_numpy() / n
-        over = (late > np.quantile(late, 0.9)).astype(float)
-        out = np.empty(n)
-        for i in range(n):
-            keep = np.arange(n) != i
-            x, held = np.column_stack([every, over, rest])[keep], np.array([every[i], over[i], rest[i]])
-            if anew:
-                x[:, 0] = pd.Series(x[:, 0]).rank().to_numpy() / keep.sum()
-                below = x[:, 0] <= held[0]
-                held[0] = x[below, 0].mean() if below.any() else 0.0
-                limit = np.quantile(x[:, 0], 0.9)
-                x[:, 1], held[1] = x[:, 0] > limit, held[0] > limit
-            mean, sd = x.mean(0), x.std(0)
-            sd = np.where(sd < 1e-12, 1, sd)
-            out[i] = models.probability(models.logistic((x - mean) / sd, y[keep]), ((held - mean) / sd)[None])[0]
-        return pd.DataFrame({**{k: pdf[k].values for k in keys}, row: pdf[row].values, "y": y, "score": out})
+        held = np.arange(len(y) * part // parts, len(y) * (part + 1) // parts)  # neighbours, whose fits are alike
+        return pd.DataFrame({**{k: pdf[k].values[held] for k in keys}, row: pdf[row].values[held], "y": y[held], "score": _held_out(y, late, rest, held, anew)})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{row} {kinds[row]}", "y int, score double"])
-    return complete(results, [late_gain, early]).groupBy(*keys).applyInPandas(one, schema)
+    whole = complete(results, [late_gain, early]).select(*keys, row, label, late_gain, early)
+    sizes = whole.groupBy(*keys).agg(F.ceil(F.count("*") / HELD_ROWS).cast("int").alias("_parts"))
+    same = reduce(lambda a, b: a & b, [F.col(f"_g{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)])
+    sized = whole.join(sizes.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], "_parts"), same).drop(*[f"_g{i}" for i in range(len(keys))])
+    return sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).groupBy(*keys, "_part").applyInPandas(one, schema)
+
+
+def _held_out(y: np.ndarray, late: np.ndarray, rest: np.ndarray, held: np.ndarray, anew: bool) -> np.ndarray:
+    """Scores of the rows ``held`` of a table sorted by ``late``. A fit starts at the one before it and takes steps
+    with that one's Hessian until they are under 1e-9; one that does not come to rest so is made anew."""
+    n = len(y)
+    ranks = pd.Series(late).rank().to_numpy()
+    every, over = ranks / n, (late > np.quantile(late, 0.9)).astype(float)
+    penalty, out = np.diag([1e-9, 1.0, 1.0, 1.0]), np.empty(len(held))
+    beta = slope = None
+    for at, i in enumerate(held):
+        x, gone = np.empty((n - 1, 3), order="F"), np.delete(y, i)
+        for j, c in enumerate((every, over, rest)):
+            x[:i, j], x[i:, j] = c[:i], c[i + 1 :]
+        last = np.array([every[i], over[i], rest[i]])
+        if anew:
+            first, end = np.searchsorted(late, late[i], "left"), np.searchsorted(late, late[i], "right")
+            x[:first, 0], x[first : end - 1, 0], x[end - 1 :, 0] = ranks[:first], ranks[i] - 0.5, ranks[end:] - 1
+            x[:, 0] /= n - 1
+            below = np.searchsorted(x[:, 0], last[0], "right")
+            last[0] = x[:below, 0].mean() if below else 0.0
+            place = 0.9 * (n - 2)
+            around = x[int(place) : int(place) + 2, 0]
+            limit = np.quantile(around, place - int(place)) if len(around) == 2 else around[0]
+            x[:, 1], last[1] = x[:, 0] > limit, last[0] > limit
+        mean, sd = x.mean(0), x.std(0)
+        sd = np.where(sd < 1e-12, 1, sd)
+        z = (x - mean) / sd
+        a = np.ones((n - 1, 4), order="F")
+        a[:, 1:] = z
+        rested = False
+        if beta is not None:
+            now = beta.copy()
+            for _ in range(8):
+                p = 1 / (1 + np.exp(-np.clip(a @ now, -30, 30)))
+                step = np.linalg.solve(slope, a.T @ (gone - p) - penalty @ now)
+                now += step
+                rested = bool(np.abs(step).max() < 1e-9)
+                if rested:
+                    break
+        if not rested:
+            now = models.logistic(z, gone)
+            p = 1 / (1 + np.exp(-np.clip(a @ now, -30, 30)))
+            slope = (a * (p * (1 - p))[:, None]).T @ a + penalty
+        beta = now
+        out[at] = models.probability(now, ((last - mean) / sd)[None])[0]
+    return out
 
 
 def usable_everywhere(long: DataFrame, task: str = "task") -> DataFrame:

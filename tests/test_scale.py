@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.parquet as pq
@@ -10,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from auditloom.functions import stats
-from auditloom.operators import measure, models
+from auditloom.operators import evaluate, measure, models
 from auditloom.queries import statistics
 
 
@@ -78,3 +79,41 @@ def test_leave_one_out_of_many_rows_needs_few_fits(monkeypatch):
             keep = np.arange(20000) != i
             assert abs(got[i] - models.probability(logistic(x[keep], y[keep], 1.0, balanced), x[i : i + 1])[0]) < 1e-10
         fits.clear()
+
+
+def plainly_left_out(y, late, rest, anew):
+    out, n = [], len(y)
+    every, over = pd.Series(late).rank().to_numpy() / n, (late > np.quantile(late, 0.9)).astype(float)
+    for i in range(n):
+        keep = np.arange(n) != i
+        x, held = np.column_stack([every, over, rest])[keep], np.array([every[i], over[i], rest[i]])
+        if anew:
+            x[:, 0] = pd.Series(x[:, 0]).rank().to_numpy() / keep.sum()
+            below = x[:, 0] <= held[0]
+            held[0] = x[below, 0].mean() if below.any() else 0.0
+            limit = np.quantile(x[:, 0], 0.9)
+            x[:, 1], held[1] = x[:, 0] > limit, held[0] > limit
+        mean, sd = x.mean(0), x.std(0)
+        sd = np.where(sd < 1e-12, 1, sd)
+        out.append(models.probability(models.logistic((x - mean) / sd, y[keep]), ((held - mean) / sd)[None])[0])
+    return np.array(out)
+
+
+def test_leave_one_out_reports_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 260
+    late = np.r_[rng.normal(size=200), rng.integers(0, 4, 60)].astype(float)
+    table = pd.DataFrame({"dataset_id": np.arange(n), "label": (rng.random(n) < 0.4).astype(int), "late": late, "early": rng.normal(size=n)})
+    both = spark.createDataFrame(pd.concat([table.assign(model="a"), table.head(50).assign(model=None)]), "dataset_id long, label int, late double, early double, model string")
+    monkeypatch.setattr(evaluate, "HELD_ROWS", 64)
+    counted, logistic = [], models.logistic
+    for anew in (True, False):
+        got = evaluate.leave_one_out(both, ["model"], "dataset_id", "label", "late", "early", anew).toPandas()
+        for name, rows in (("a", table), (None, table.head(50))):
+            mine = got[got["model"].isna() if name is None else got["model"] == name].sort_values("dataset_id")
+            want = plainly_left_out(rows["label"].to_numpy(), rows["late"].to_numpy(), rows["early"].to_numpy(), anew)
+            np.testing.assert_allclose(mine["score"].to_numpy(), want, atol=1e-9)
+    monkeypatch.setattr(models, "logistic", lambda *a, **more: counted.append(1) or logistic(*a, **more))
+    order = table.sort_values("late")
+    evaluate._held_out(order["label"].to_numpy(), order["late"].to_numpy(), order["early"].to_numpy(), np.arange(n), True)
+    assert len(counted) < n / 4
