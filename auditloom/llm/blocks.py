@@ -55,6 +55,34 @@ def numbers(table: pa.Table, name: str) -> np.ndarray:
     return np.cumsum(planes.view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
+def flat(**columns: np.ndarray) -> bytes:
+    """Columns of numbers as one compressed binary, byte by byte as in ``squeeze``, ``key`` as differences. Where many
+    small rows travel, Arrow's stream takes longer to set up than to fill: 290 us for 300 keys, this 30 us."""
+    head, body = [], []
+    for name, column in columns.items():
+        own = np.ascontiguousarray(column)
+        if name == "key" and len(own):
+            own = np.diff(own.view(np.uint64), prepend=np.uint64(0))
+        head.append(f"{name} {own.dtype.str} {len(own)}")
+        body.append(own.view(np.uint8).reshape(-1, own.dtype.itemsize).T.tobytes())
+    raw = b"".join([",".join(head).encode(), b"\n", *body])
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unflat(data: bytes) -> dict[str, np.ndarray]:
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    at = raw.index(b"\n") + 1
+    out = {}
+    for column in raw[: at - 1].decode().split(","):
+        name, kind, n = column.split(" ")
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, int(n) * width, at).reshape(width, -1)
+        own = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+        out[name] = np.cumsum(own, dtype=np.uint64) if name == "key" else own
+        at += int(n) * width
+    return out
+
+
 def table_of(rows: list[Row]) -> pa.Table:
     kind, at, origin, data = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.table([pa.array(kind, pa.int32()), pa.array(at, pa.int32()), pa.array(origin, pa.int32()), pa.array(data, pa.binary())], names=["kind", "at", "origin", "data"])
@@ -131,7 +159,7 @@ def at_each(rows: DataFrame, work: Callable[[int, dict[int, list[tuple[int, byte
     return rows.groupBy("at").applyInArrow(run, ROWS)
 
 
-def scatter(kind: int, origin: int, keys: np.ndarray, bucket_of: np.ndarray, **values: np.ndarray) -> Iterator[Row]:
+def scatter(kind: int, origin: int, keys: np.ndarray, bucket_of: np.ndarray, pack: Callable[..., bytes] = squeeze, **values: np.ndarray) -> Iterator[Row]:
     """One packed row per bucket of sorted ``keys`` and ``values``, which stay in order within it."""
     if np.all(bucket_of[1:] >= bucket_of[:-1]):
         order, ranked = None, bucket_of
@@ -140,16 +168,16 @@ def scatter(kind: int, origin: int, keys: np.ndarray, bucket_of: np.ndarray, **v
         ranked = bucket_of[order]
     edges = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1], True]) if len(ranked) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        pick = slice(a, b) if order is None else order[a:b]
-        yield kind, int(ranked[a]), origin, squeeze(key=keys[pick], **{n: v[pick] for n, v in values.items()})
+        part = slice(a, b) if order is None else order[a:b]
+        yield kind, int(ranked[a]), origin, pack(key=keys[part], **{n: v[part] for n, v in values.items()})
 
 
-def gather(replies: list[tuple[int, bytes]], bucket_of: np.ndarray, name: str, out: np.ndarray) -> np.ndarray:
+def gather(replies: list[tuple[int, bytes]], bucket_of: np.ndarray, name: str, out: np.ndarray, values_of: Callable[[bytes, str], np.ndarray] = lambda data, name: numbers(expand(data), name)) -> np.ndarray:
     """Puts what buckets answered back in the order of the keys that ``bucket_of`` deals."""
     order = np.argsort(bucket_of, kind="stable")
     ranked = bucket_of[order]
     for bucket, data in replies:
-        values = numbers(expand(data), name)
+        values = values_of(data, name)
         a = np.searchsorted(ranked, bucket)
         out[order[a : a + len(values)]] = values
     return out

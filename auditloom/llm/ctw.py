@@ -34,9 +34,14 @@ from auditloom.llm.common import block_count, byte_view, crc_mod, docs_of, mater
 from auditloom.llm.textbytes import lowered, words
 
 DEPTH = 6
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES = 12 << 20
 #: Text that is worked on at once within a block.
 PART_BYTES = 2 << 20
+#: Blocks for each bucket of strings, once there are LEAST_BUCKETS: pairs of a block and a bucket grow with the square of the input.
+BLOCKS_A_BUCKET = 2
+LEAST_BUCKETS = 24
+#: Strings that a bucket holds before it adds them up.
+PENDING = 1 << 20
 #: Buckets of contexts for each bucket of strings: a tree takes more memory than the counts it is made of.
 CONTEXT_BUCKETS = 4
 EDGE = 255  # never a byte of UTF-8: stands before a text and after it
@@ -200,6 +205,38 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct[first], np.add.reduceat(marked & np.uint64(1), first).astype(np.int32)
 
 
+def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each key among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.r_[np.ones(min(len(keys), 1), bool), ranked[1:] != ranked[:-1]]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], place
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct keys of all parts."""
+    keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return keys[np.r_[np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]]
+
+
+def _totals_of(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of packed rows and the sums of their counts, added up whenever PENDING more are held."""
+    ks: list[np.ndarray] = []
+    cs: list[np.ndarray] = []
+    more = 0
+    for _, data in rows:
+        part = bl.unflat(data)
+        ks.append(part["key"])
+        cs.append(part["n"].astype(np.int64))
+        more += len(ks[-1])
+        if more >= max(PENDING, len(ks[0])):
+            ks, cs = ([x] for x in bl.summed(ks, cs))
+            more = 0
+    return bl.summed(ks, cs)
+
+
 def _looked_up(every: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Values of keys of 56 bits at most, all of them in sorted ``every``.
 
@@ -264,24 +301,21 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
     repeated rows are scored like others; an empty table gives no rows; without
     training rows every decision has probability one half.
     """
-    buckets = block_count(docs, block_bytes)
+    blocks = block_count(docs, block_bytes)
+    buckets = min(blocks, max(LEAST_BUCKETS, -(-blocks // BLOCKS_A_BUCKET)))
     contexts = CONTEXT_BUCKETS * buckets
-    text = bl.dealt(docs.select("doc_id", "text", "train"), bl.by_hash(buckets))
+    text = bl.dealt(docs.select("doc_id", "text", "train"), bl.by_hash(blocks))
 
     def send(block, got):
         for kind, (keys, counts) in _distinct(got[bl.TEXT], depth).items():
-            yield from bl.scatter(kind, block, keys, _bucket(keys, buckets), n=counts.astype(np.int32))
+            yield from bl.scatter(kind, block, keys, _bucket(keys, buckets), bl.flat, n=counts.astype(np.int32))
 
     sent = materialize(bl.at_each(text, send))
 
-    def totals(got, kind):
-        parts = [bl.expand(data) for _, data in got.get(kind, [])]
-        return bl.summed([bl.numbers(p, "key") for p in parts], [bl.numbers(p, "n").astype(np.int64) for p in parts])
-
     def add_up(bucket, got):
-        keys, counts = totals(got, GRAM)
-        yield from bl.scatter(GRAM, bucket, keys, _context_bucket(keys, contexts, depth), n=counts)
-        _, n = totals(got, WORD)
+        keys, counts = _totals_of(got.get(GRAM, []))
+        yield from bl.scatter(GRAM, bucket, keys, _context_bucket(keys, contexts, depth), bl.flat, n=counts)
+        _, n = _totals_of(got.get(WORD, []))
         yield TOTAL, -1, bucket, bl.squeeze(tokens=np.array([n.sum()]), distinct=np.array([np.count_nonzero(n)]))
 
     reduced = materialize(bl.at_each(sent, add_up))
@@ -289,9 +323,7 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
     strings = reduced.where(F.col("kind") == GRAM)
 
     def subtree(got):
-        parts = [bl.expand(data) for _, data in got[GRAM]]
-        keys, counts = bl.summed([bl.numbers(p, "key") for p in parts], [bl.numbers(p, "n") for p in parts])
-        return Subtree(keys, counts, 2, depth)
+        return Subtree(*_totals_of(got[GRAM]), 2, depth)
 
     def tops(table: pa.Table) -> pa.Table:
         tree, out = subtree(bl.packed_rows(table)), []
@@ -311,47 +343,56 @@ def scored(docs: DataFrame, train: DataFrame | None = None, depth: int = DEPTH,
         for bit in range(8):
             total += tree.log10(bit, upper[bit])
         for origin, data in got[GRAM]:
-            asked = bl.numbers(bl.expand(data), "key")
-            yield SCORE, origin, context, bl.squeeze(v=total[np.searchsorted(tree.keys[depth], asked)].astype(np.float32))
+            asked = bl.unflat(data)["key"]
+            yield SCORE, origin, context, bl.flat(v=total[np.searchsorted(tree.keys[depth], asked)].astype(np.float32))
 
     def answer(bucket, got):
-        keys, counts = totals(got, GRAM)
-        logs = bl.gather(got.get(SCORE, []), _context_bucket(keys, contexts, depth), "v", np.zeros(len(keys), np.float32))
-        vocabulary, seen = totals(got, WORD)
+        keys, _ = _totals_of(got.get(GRAM, []))
+        logs = bl.gather(got.get(SCORE, []), _context_bucket(keys, contexts, depth), "v", np.zeros(len(keys), np.float32), _column)
+        vocabulary, seen = _totals_of(got.get(WORD, []))
         for kind, every, values in ((GRAM, keys, logs), (WORD, vocabulary, seen)):
             for origin, data in got.get(kind, []):
-                yield kind, origin, bucket, bl.squeeze(v=values[np.searchsorted(every, bl.numbers(bl.expand(data), "key"))])  # sorted keys
+                yield kind, origin, bucket, bl.flat(v=values[np.searchsorted(every, _column(data, "key"))])  # sorted keys
 
     replies = bl.at_each(sent.unionAll(bl.at_each(strings, evaluate)), answer)
 
     def finish(table: pa.Table) -> pa.Table:
         got = bl.packed_rows(table)
-        own = _distinct(got.get(bl.TEXT, []), depth)
-        vocabulary, every = own[WORD][0], own[GRAM][0]
-        count = bl.gather(got.get(WORD, []), _bucket(vocabulary, buckets), "v", np.zeros(len(vocabulary), np.int64))
-        logs = bl.gather(got.get(GRAM, []), _bucket(every, buckets), "v", np.zeros(len(every), np.float32))
-        end = count[np.searchsorted(vocabulary, END)] if len(vocabulary) else 0
-        out = []
+        held, held_words, held_grams = [], [], []
         for part, texts in _parts(got.get(bl.TEXT, [])):
             prints, n = _words_of(texts)
-            c = count[np.searchsorted(vocabulary, prints)]
-            row = np.repeat(np.arange(len(texts)), n)
             keys, starts = grams(texts, depth)
-            per_word = np.bincount(row, weights=np.log10(c + 1.0), minlength=len(texts)) + math.log10(end + 1.0)
+            held.append((part.select(["doc_id", "train"]), n, starts))
+            held_words.append(_placed(prints))
+            held_grams.append(_placed(keys))
+        vocabulary = _merged([*(k for k, _ in held_words), np.full(1, END)])
+        every = _merged([k for k, _ in held_grams])
+        count = bl.gather(got.get(WORD, []), _bucket(vocabulary, buckets), "v", np.zeros(len(vocabulary), np.int64), _column)
+        logs = bl.gather(got.get(GRAM, []), _bucket(every, buckets), "v", np.zeros(len(every), np.float32), _column)
+        end = count[np.searchsorted(vocabulary, END)]
+        out = []
+        for (part, n, starts), (own_words, word), (own_grams, gram) in zip(held, held_words, held_grams, strict=True):
+            c = count[np.searchsorted(vocabulary, own_words)][word]
+            row = np.repeat(np.arange(len(n)), n)
+            per_word = np.bincount(row, weights=np.log10(c + 1.0), minlength=len(n)) + math.log10(end + 1.0)
             out.append(pa.table({
                 "doc_id": part.column("doc_id").cast(pa.int64()),
                 "held_out": pa.array(~part.column("train").to_numpy(zero_copy_only=False).astype(bool)),
                 "n_tokens": pa.array(n + 1, pa.int64()),
-                "n_known": pa.array(np.bincount(row, weights=c > 0, minlength=len(texts)).astype(np.int64) + int(end > 0)),
-                "train_tokens": pa.array(np.full(len(texts), n_all, np.int64)),
+                "n_known": pa.array(np.bincount(row, weights=c > 0, minlength=len(n)).astype(np.int64) + int(end > 0)),
+                "train_tokens": pa.array(np.full(len(n), n_all, np.int64)),
                 "base_score": pa.array(per_word - (n + 1) * math.log10(n_all + n_distinct + 1)),
-                "score": pa.array(np.add.reduceat(_looked_up(every, logs, keys).astype(float), starts)),
+                "score": pa.array(np.add.reduceat(_looked_up(every, logs, own_grams)[gram].astype(float), starts)),
             }))
         return pa.concat_tables(out) if out else EMPTY
 
     return text.unionAll(replies).groupBy("at").applyInArrow(finish, SCHEMA)
 
 
+def _column(data: bytes, name: str) -> np.ndarray:
+    return bl.unflat(data)[name]
+
+
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 EMPTY = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
 
