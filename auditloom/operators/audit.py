@@ -15,6 +15,8 @@ from auditloom.operators import models, split
 #: Column counts of the top-K curve; the second is for pools of many datasets.
 K_GRID = (1, 2, 4, 8, 16, 32, 64)
 K_GRID_FINE = (1, 2, 4, 6, 8, 12, 16, 24, 32, 64)
+#: Parts of kept tables, which hold a few rows per dataset and column, and of the fits, so that few share a task.
+KEPT_PARTS, FIT_PARTS = 24, 200
 
 
 def usable(pool: DataFrame) -> DataFrame:
@@ -156,16 +158,16 @@ def ranks(cells: DataFrame, keys: Sequence[str], side: str = "xt") -> DataFrame:
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "hold": hold, "signal": names, "importance": size, "place": place})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "hold int, signal string, importance double, place int"])
-    return _held(cells).groupBy(*keys, "hold").applyInPandas(one, schema)
+    return _held(cells).repartition(FIT_PARTS, *keys, "hold").groupBy(*keys, "hold").applyInPandas(one, schema)
 
 
 def top_scores(cells: DataFrame, ranked: DataFrame, kinds: Sequence[str], ks: Sequence[int]) -> DataFrame:
     """``scope, kind, k, n_cols, dataset_id, y, target, blind``: out-of-fold scores on the ``k`` first columns of
     each fold's own ranks, the same ones for target and blind. Every (scope, kind, k, fold) is a task."""
     spark = cells.sparkSession
-    sizes = ranked.groupBy("scope").agg(F.max("place").alias("n_cols"))
+    sized = ranked.withColumn("n_cols", F.max("place").over(Window.partitionBy("scope")))  # as many rows as columns and folds
     grid = spark.createDataFrame([(kind, k) for kind in kinds for k in ks], "kind string, k int")
-    picked = ranked.join(sizes, "scope").join(F.broadcast(grid), F.col("k") <= F.col("n_cols")).where(F.col("place") <= F.col("k"))  # a few kinds times a few counts
+    picked = sized.join(F.broadcast(grid), F.col("k") <= F.col("n_cols")).where(F.col("place") <= F.col("k"))  # a few kinds times a few counts
     rows = picked.select("scope", "kind", "k", "hold", "n_cols", "signal", "place").join(cells, ["scope", "signal"])
     fields = "scope string, kind string, k int, n_cols int, dataset_id {0}, y int, target double, blind double".format(dict(cells.dtypes)["dataset_id"])
 
@@ -176,7 +178,8 @@ def top_scores(cells: DataFrame, ranked: DataFrame, kinds: Sequence[str], ks: Se
         out = {c: _fit_predict(pdf["kind"].iloc[0], x[train], y[train], x[~train]) for c, x in (("target", _side(pdf, "xt", names)), ("blind", _side(pdf, "xb", names)))}
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in ("scope", "kind", "k", "n_cols")}, "dataset_id": head.index[~train], "y": y[~train], **out})
 
-    return rows.groupBy("scope", "kind", "k", "hold").applyInPandas(one, fields)
+    task = ["scope", "kind", "k", "hold"]
+    return rows.repartition(FIT_PARTS, *task).groupBy(*task).applyInPandas(one, fields)
 
 
 def scoped(pool: DataFrame, scopes: dict[str, Sequence[str]], seed: int = 0) -> DataFrame:
@@ -191,7 +194,7 @@ def internal(pool: DataFrame, scopes: dict[str, Sequence[str]], kinds: Sequence[
 
     Columns are ranked within each training fold on the target alone, once for all classifiers.
     """
-    best = at_elbow(pool, scopes, kinds, seed, ks)
+    best = at_elbow(pool, scopes, kinds, seed, ks).persist()
     keys = ["scope", "kind"]
     areas = [stats.auc(best, keys, side, "y").select(*keys, F.col("auc").alias(side)) for side in ("target", "blind")]
     heads = best.groupBy(*keys).agg(F.max("n_cols").alias("n_cols"), F.max("k").alias("k_star"))
@@ -202,8 +205,9 @@ def internal(pool: DataFrame, scopes: dict[str, Sequence[str]], kinds: Sequence[
 
 def at_elbow(pool: DataFrame, scopes: dict[str, Sequence[str]], kinds: Sequence[str] = ("lr", "trees"), seed: int = 0, ks: Sequence[int] = K_GRID) -> DataFrame:
     """Out-of-fold scores of each scope and classifier at its K*."""
-    cells = scoped(pool, scopes, seed).persist()
-    scores = top_scores(cells, ranks(cells, ["scope"]), kinds, ks).persist()  # each row is a fit's result
+    pool = pool.select("dataset_id", "y", "signal", "xt", "xb").repartition(KEPT_PARTS, "dataset_id").persist()  # read for columns, folds and cells
+    cells = scoped(pool, scopes, seed).repartition(KEPT_PARTS, "dataset_id").persist()
+    scores = top_scores(cells, ranks(cells, ["scope"]), kinds, ks).repartition(KEPT_PARTS, "scope", "kind", "k", "dataset_id").persist()  # each row is a fit's result
     curve = stats.auc(scores, ["scope", "kind", "k"], "target", "y")
     star = models.elbow_table(curve, ["scope", "kind"], "k", "auc").withColumnRenamed("k_star", "k")
     return scores.join(star, ["scope", "kind", "k"])

@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.parquet as pq
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -117,3 +118,64 @@ def test_leave_one_out_reports_in_parts(spark, monkeypatch):
     order = table.sort_values("late")
     evaluate._held_out(order["label"].to_numpy(), order["late"].to_numpy(), order["early"].to_numpy(), np.arange(n), True)
     assert len(counted) < n / 4
+
+
+def test_heads_are_md5():
+    import hashlib
+
+    from auditloom.functions import digests
+
+    texts = [str(i).encode() for i in (*range(300), 2**63 - 1)] + [b"", b"x" * 60, "é".encode()]
+    for more in (1, 130):  # one slice, and several
+        for i, at, got in digests.heads([b"0|boot|7|", b"", b"1|p|"], *digests.parts(pa.array(texts * more, pa.large_binary()))):
+            want = [int(hashlib.md5([b"0|boot|7|", b"", b"1|p|"][i] + t).hexdigest()[:8], 16) for t in (texts * more)[at]]
+            assert got.tolist() == want
+
+
+def test_resamples_are_no_rows_of_a_plan(spark):
+    import hashlib
+
+    from auditloom.operators import split
+
+    n, reps, rng = 90, 120, np.random.default_rng(4)
+    target = [None if i % 17 == 0 else float(v) for i, v in enumerate(rng.integers(0, 9, n))]  # ties, and nulls as the lowest
+    rows = [("a", i, int(rng.random() < 0.4), target[i], float(rng.normal())) for i in range(n)] + [("b", i, 1, 0.5, 0.5) for i in range(9)]
+    df = split.bootstrap(spark.createDataFrame(rows, "g string, row_id long, y int, target double, blind double"), ["g"], reps)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "Window" not in plan
+    areas = []
+    for r in range(reps):
+        w = np.array([sum(int(hashlib.md5(f"0|boot|{r}|{i}".encode()).hexdigest()[:8], 16) / 2**32 >= c for c in split.POISSON) for i in range(n)])
+        at = [np.repeat([-np.inf if x[s] is None else x[s] for x in rows[:n]], w) for s in (3, 4)]
+        areas.append([models.rank_auc(s, np.repeat([x[2] for x in rows[:n]], w)) for s in at])
+    t, b = np.array(areas).T
+    (got,) = df.collect()  # b has one class
+    want = {"g": "a", "target_sd": t.std(), "blind_sd": b.std(), "gap_sd": (t - b).std(), "p_gap_le_0": (t - b <= 0).mean(), "used": reps}
+    assert got.asDict() == {k: v if k in ("g", "used") else pytest.approx(v, rel=1e-9) for k, v in want.items()}
+
+
+def test_internal_audit_reads_its_pool_and_ranks_once(spark):
+    from auditloom.operators import audit
+
+    read = spark.sparkContext.accumulator(0)
+    rows = [(i, i % 2, f"base_{s}", float(np.random.default_rng([i, j]).normal()), float(i * j % 7)) for i in range(40) for j, s in enumerate("abc")]
+    kinds, names = "dataset_id long, y int, signal string, xt double, xb double", ["base_a", "base_b", "base_c"]
+
+    def through(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pool = spark.createDataFrame(rows, kinds)
+    got = audit.internal(pool.mapInArrow(through, kinds), {"ALL": names}, replicates=50).collect()
+    assert len(got) == 2 and read.value == len(rows)
+    cells = audit.scoped(pool, {"ALL": names}).persist()
+    plan = audit.top_scores(cells, audit.ranks(cells, ["scope"]), ("lr", "trees"), (1, 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 2  # the ranks and the fits
+
+
+def test_pool_is_one_pass(spark, sf):
+    from auditloom.sources import fixtures
+
+    plan = fixtures.pool(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "Join" not in plan
